@@ -7,6 +7,7 @@ selected.  Two texts that share a clean stretch of ``K + w - 1`` characters shar
 a selected gram.  Grams selected on both sides are joined across splits, the
 seeds of a pair are chained, and chained pairs are aligned by edit distance.
 
+Texts of up to ``MID_MAX`` characters also give shorter grams in narrower windows.
 Texts of up to ``SHORT_MAX`` characters, where clean stretches are short, are
 joined exactly instead: a text within ``d`` edits of a text cut into ``d + 1``
 segments holds one of the segments unchanged, shifted by at most ``d``.
@@ -24,17 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K = 20
-#: Grams a window has at most; a text of L characters takes L / 10, within 4 and this.
-WINDOW = 24
+K = 28
+#: Grams a window has at most; a text of L characters takes L / 9, within 4 and this.
+WINDOW = 28
 #: Texts from LONG_MIN on are winnowed; up to SHORT_MAX they are joined by segments.
 LONG_MIN, SHORT_MAX = 64, 71
+#: Texts of up to MID_MAX characters also give grams of MID_K characters, in windows of MID_WINDOW.
+MID_MAX, MID_K, MID_WINDOW = 134, 10, 4
 #: One edit for this many characters of the longer text.
 PER_EDIT = 10
+#: Grams with fewer digits than this (macros, fixed phrases) are selected only where a window has no others.
+TELLING = 6
 TRAIN, EVAL = 1, 2
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Grams with fewer digits than this (macros, fixed phrases) are selected only where a window has no others.
-TELLING = 4
 
 
 def split_of(split: Column, path: Column) -> Column:
@@ -100,7 +103,7 @@ def gram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def winnow(texts: list[str], width: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def winnow(texts: list[str], width: int, k: int = K, telling: int = TELLING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, position, hash) of the selected grams of texts of at least k + width - 1 characters."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -108,7 +111,7 @@ def winnow(texts: list[str], width: int, k: int = K) -> tuple[np.ndarray, np.nda
     row = np.repeat(np.arange(len(texts)), size)
     hashes = gram_hashes(codes, k)
     digits = np.r_[0, np.cumsum((codes >= 48) & (codes <= 57))]
-    few = (digits[k:] - digits[:-k]) < TELLING
+    few = (digits[k:] - digits[:-k]) < telling
     at = np.arange(len(hashes), dtype=np.uint64)
     low = np.uint64(0xFFFF)
     order = ((hashes >> np.uint64(1)) | (few.astype(np.uint64) << np.uint64(63))) & ~low | (at & low)
@@ -122,7 +125,7 @@ def winnow(texts: list[str], width: int, k: int = K) -> tuple[np.ndarray, np.nda
 
 
 def window_of(size: np.ndarray) -> np.ndarray:
-    return np.clip(size // 10 // 4 * 4, 4, WINDOW)
+    return np.clip(size // 9 // 4 * 4, 4, WINDOW)
 
 
 def _segments(size: int, parts: int) -> list[tuple[int, int]]:
@@ -162,15 +165,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         cls, sides = b.column("cls").to_numpy(), b.column("sides").to_numpy()
         texts = b.column("text").to_pylist()
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        width = np.where(size >= LONG_MIN, window_of(size), 0)
-        for w in np.unique(width[width > 0]):
-            rows = np.flatnonzero(width == w)
-            total = np.cumsum(size[rows])
-            for part in np.split(rows, np.searchsorted(total, np.arange(2_000_000, total[-1], 2_000_000))):
-                if len(part):
-                    owner, place, key = winnow([texts[i] for i in part], int(w))
-                    own = part[owner]
-                    yield batch(cls[own], sides[own], size[own], place, key)
+        long = size >= LONG_MIN
+        tiers = [(K, TELLING, np.where(long, window_of(size), 0)), (MID_K, 0, np.where(long & (size <= MID_MAX), MID_WINDOW, 0))]
+        for k, telling, width in tiers:
+            for w in np.unique(width[width > 0]):
+                rows = np.flatnonzero(width == w)
+                total = np.cumsum(size[rows])
+                for part in np.split(rows, np.searchsorted(total, np.arange(2_000_000, total[-1], 2_000_000))):
+                    if len(part):
+                        owner, place, key = winnow([texts[i] for i in part], int(w), k, telling)
+                        own = part[owner]
+                        yield batch(cls[own], sides[own], size[own], place, key)
         out = []
         for i in np.flatnonzero(size <= SHORT_MAX):
             for side, keys in ((TRAIN, segment_keys), (EVAL, probe_keys)):
@@ -225,7 +230,6 @@ def overlaps(labels: DataFrame) -> DataFrame:
         F.greatest(F.length("text_e"), F.length("text_t")).alias("size"),
     )
     own = rows.select("label_id", "side", F.xxhash64("text").alias("cls"), tag(F.col("text")).alias("tag"), F.length("text").alias("size"))
-    own = own.distinct()
     pick = lambda bit, x, *more: own.filter(F.col("side") == bit).select(
         F.col("label_id").alias(f"label_id_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("tag").alias(f"tag_{x}"), *more
     )
