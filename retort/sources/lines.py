@@ -22,6 +22,8 @@ _SUSPECT = r'["\p{Cc}&&[^\t]]'
 def _braces_pair(field: Column) -> Column:
     """Curly brackets, other than those after a backslash, pair up in order."""
     bare = F.regexp_replace(F.regexp_replace(field, r"\\[{}]", ""), r"[^{}]+", "")
+    for _ in range(4):  # most brackets are gone after their innermost pairs; what is left is folded
+        bare = F.replace(bare, F.lit("{}"), F.lit(""))
     depth = F.aggregate(
         F.split(bare, ""),
         F.lit(0),
