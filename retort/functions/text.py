@@ -14,6 +14,11 @@ SPECIAL = ["\\smear", "\\space"]
 ENDS = ["<s>", "</s>"]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Pieces between runs of blanks, tabs and line breaks."""
     return F.filter(F.split(text, r"[ \t\r\n]+"), lambda t: t != "")
@@ -59,16 +64,21 @@ def without_angles(text: Column) -> Column:
 
 def unwrap_subscripts(items: Column) -> Column:
     """``_ { x }`` becomes ``x``: the pair ``_ {`` goes, and with it the next ``}``, whatever its nesting."""
-    follows = lambda i, t: (t == "{") & (F.get(items, i - 1) == "_")
-    opens = lambda i, t: (t == "_") & (F.coalesce(F.get(items, i + 1), F.lit("")) == "{")
-    marked = F.transform(items, lambda t, i: F.struct(t.alias("t"), opens(i, t).alias("opens"), F.coalesce(follows(i, t), F.lit(False)).alias("brace")))
-    start = F.struct(F.lit(False).alias("open"), F.slice(items, 1, 0).alias("out"))
+    return let(items, _unwrapped)
+
+
+def _unwrapped(items: Column) -> Column:
+    n = F.size(items)
+    ahead = F.zip_with(items, F.slice(items, 2, n), lambda t, after: F.struct(t.alias("t"), F.coalesce((t == "_") & (after == "{"), F.lit(False)).alias("opens")))
+    # A brace is dropped where the token before it opened; only dropped places are collected.
+    numbered = F.transform(ahead, lambda m, i: F.struct(m["t"].alias("t"), m["opens"].alias("opens"), i.alias("i")))
+    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<int>").alias("drop"))
     step = lambda s, m: (
-        F.when(m["opens"] | m["brace"], F.struct(F.lit(True).alias("open"), s["out"].alias("out")))
-        .when(s["open"] & (m["t"] == "}"), F.struct(F.lit(False).alias("open"), s["out"].alias("out")))
-        .otherwise(F.struct(s["open"].alias("open"), F.concat(s["out"], F.array(m["t"])).alias("out")))
+        F.when(m["opens"], F.struct(F.lit(True).alias("open"), F.concat(s["drop"], F.array(m["i"], m["i"] + 1)).alias("drop")))
+        .when(s["open"] & (m["t"] == "}"), F.struct(F.lit(False).alias("open"), F.concat(s["drop"], F.array(m["i"])).alias("drop")))
+        .otherwise(s)
     )
-    return F.aggregate(marked, start, step)["out"]
+    return let(F.aggregate(numbered, start, step)["drop"], lambda drop: F.filter(items, lambda t, i: ~F.array_contains(drop, i)))
 
 
 def plain_bonds(text: Column) -> Column:
@@ -154,6 +164,10 @@ def balance_braces(text: Column) -> Column:
 
 def merge_single_chars(items: Column) -> Column:
     """Runs of two and more one-character tokens become one token; the first and the last token stay apart."""
+    return let(items, _merged)
+
+
+def _merged(items: Column) -> Column:
     n = F.size(items)
     start = F.struct(F.lit(False).alias("run"), F.slice(items, 1, 0).alias("out"))
     numbered = F.transform(items, lambda t, i: F.struct(t.alias("t"), ((F.length(t) == 1) & (i > 0) & (i < n - 1)).alias("one")))

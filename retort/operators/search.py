@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retort.functions.text import let
+
 
 def log_softmax(values: Column) -> Column:
     """Log-probabilities of an array of scores; stable for large scores."""
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    return F.transform(values, lambda v: v - top - F.log(total))
+    less = let(values, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: x - top)))
+    return let(less, lambda v: let(F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x))), lambda total: F.transform(v, lambda x: x - total)))
 
 
 def beam_topk(df: DataFrame, sample: str, beam: str, log_probs: str, k: int, cost: str | None = None) -> DataFrame:
@@ -45,10 +46,9 @@ def masked_mean(values: Column, mask: Column) -> Column:
 
 def attention_read(energy: Column, values: Column) -> Column:
     """Sum of the values, weighted by the softmax of the energies."""
-    top = F.array_max(energy)
-    weights = F.transform(energy, lambda e: F.exp(e - top))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    return total(F.zip_with(weights, values, lambda w, v: w * v)) / total(weights)
+    weights = let(energy, lambda e: let(F.array_max(e), lambda top: F.transform(e, lambda x: F.exp(x - top))))
+    return let(weights, lambda w: total(F.zip_with(w, values, lambda a, b: a * b)) / total(w))
 
 
 def shift_right(items: Column, first: Column) -> Column:
