@@ -77,8 +77,9 @@ def read_lines(df: DataFrame, text_col: str = "line_text", feed_col: str = "feed
         .when((F.col("_n") != F.col("_expected")) | (F.col("_line") == ""), "columns")
         .when(_bad_value(F.col("fields"), F.col("_n")), "value")
     )
-    read = read.withColumn("reason", reason)
-    return read.select(*kept, "fields", F.when(F.col("reason").isNotNull(), F.col(text_col)).alias("corrupt_text"), "reason")
+    # Through a generator, so that a filter on the reason isn't pushed down and worked out a second time.
+    result = F.struct("fields", F.when(reason.isNotNull(), F.col(text_col)).alias("corrupt_text"), reason.alias("reason"))
+    return read.select(*kept, F.inline(F.array(result)))
 
 
 def rejected_lines(df: DataFrame) -> DataFrame:
