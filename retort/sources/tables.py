@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from retort.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder`` (one file or a directory)."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
