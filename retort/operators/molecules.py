@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retort.functions.text import let
+
 MARK = "\\chemfig"
 #: Bond types, longest first.
 BONDS = ["<:", ">:", "<|", ">|", "-:", "=_", "=^", "~/", "-", "=", "~", "<", ">"]
@@ -164,8 +166,12 @@ def reach(start: Column | None = None) -> Column:
         src, dst = F.array_contains(seen, b["src"]), F.array_contains(seen, b["dst"])
         return F.when(src & ~dst, F.concat(seen, F.array(b["dst"]))).when(dst & ~src, F.concat(seen, F.array(b["src"]))).otherwise(seen)
 
-    once = lambda seen: F.aggregate("bonds", seen, grow)
-    return F.array_sort(F.aggregate("atoms", first, lambda seen, _: once(seen)))
+    def again(state: Column, _: Column) -> Column:
+        grown = F.aggregate("bonds", state["seen"], grow)
+        return F.when(state["before"] == F.size(state["seen"]), state).otherwise(F.struct(F.size(state["seen"]).alias("before"), grown.alias("seen")))
+
+    start_state = F.struct(F.lit(-1).alias("before"), first.alias("seen"))
+    return F.array_sort(F.aggregate("atoms", start_state, again)["seen"])
 
 
 def n_rings() -> Column:
@@ -201,17 +207,18 @@ def signature(rounds: int = 6) -> Column:
     turned = {">": "<", "<": ">", ">:": "<:", "<:": ">:", ">|": "<|", "<|": ">|"}
     back = F.create_map(*[F.lit(x) for pair in turned.items() for x in pair])
 
-    def refined(held: Column) -> Column:
-        def one(own: Column, i: Column) -> Column:
-            out = F.transform(F.filter("bonds", lambda b: b["src"] == i), lambda b: F.xxhash64(b["type"], F.get(held, b["dst"])))
-            into = F.transform(
-                F.filter("bonds", lambda b: b["dst"] == i),
-                lambda b: F.xxhash64(F.coalesce(F.element_at(back, b["type"]), b["type"]), F.get(held, b["src"])),
-            )
-            return F.xxhash64(own, F.array_sort(F.concat(out, into)))
+    def links(a: Column) -> Column:
+        out = F.transform(F.filter("bonds", lambda b: b["src"] == a["id"]), lambda b: F.struct(b["type"].alias("type"), b["dst"].alias("to")))
+        into = F.transform(
+            F.filter("bonds", lambda b: b["dst"] == a["id"]),
+            lambda b: F.struct(F.coalesce(F.element_at(back, b["type"]), b["type"]).alias("type"), b["src"].alias("to")),
+        )
+        return F.concat(out, into)
 
-        return F.transform(held, one)
+    def refined(held: Column, at: Column) -> Column:
+        near = lambda around: F.array_sort(F.transform(around, lambda x: F.xxhash64(x["type"], F.get(held, x["to"]))))
+        return F.zip_with(held, at, lambda own, around: F.xxhash64(own, near(around)))
 
     marks = F.transform("atoms", lambda a: F.xxhash64(a["text"]))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), marks, lambda held, _: refined(held))
-    return F.xxhash64(F.array_sort(done))
+    steps = F.sequence(F.lit(1), F.lit(rounds))
+    return let(F.transform("atoms", links), lambda at: F.xxhash64(F.array_sort(F.aggregate(steps, marks, lambda held, _: refined(held, at)))))
