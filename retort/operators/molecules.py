@@ -222,3 +222,37 @@ def signature(rounds: int = 6) -> Column:
     marks = F.transform("atoms", lambda a: F.xxhash64(a["text"]))
     steps = F.sequence(F.lit(1), F.lit(rounds))
     return let(F.transform("atoms", links), lambda at: F.xxhash64(F.array_sort(F.aggregate(steps, marks, lambda held, _: refined(held, at)))))
+
+
+def rings() -> Column:
+    """Array of (ring, atoms): for each hook's closing bond, the atoms of the ring it closes, sorted by id.
+
+    Bonds other than hooks form a tree, in which every atom but the first has
+    one bond that leads to it; a ring is what the two ends' ways to the root
+    don't share, and the atom where they meet.  A hook that ends on its own
+    atom, or doubles a bond, closes no ring.
+    """
+    tree = F.filter("bonds", lambda b: b["hook"].isNull())
+    hooks = F.filter("bonds", lambda b: b["hook"].isNotNull() & (b["src"] != b["dst"]))
+
+    def way(parents: Column, a: Column) -> Column:
+        up = lambda path, _: F.when(F.get(parents, F.element_at(path, -1)).isNull(), path).otherwise(F.concat(path, F.array(F.get(parents, F.element_at(path, -1)))))
+        return F.aggregate("atoms", F.array(a), up)
+
+    def closed(ways: Column) -> Column:
+        a, b = ways["a"], ways["b"]
+        return F.array_sort(F.concat(F.array_except(a, b), F.array_except(b, a), F.slice(F.filter(a, lambda x: F.array_contains(b, x)), 1, 1)))
+
+    parents = let(tree, lambda t: F.transform("atoms", lambda x: F.get(F.transform(F.filter(t, lambda b: b["dst"] == x["id"]), lambda b: b["src"]), F.lit(0))))
+    found = let(parents, lambda p: F.transform(F.transform(hooks, lambda h: F.struct(way(p, h["src"]).alias("a"), way(p, h["dst"]).alias("b"))), closed))
+    whole = let(found, lambda r: F.filter(r, lambda x: F.size(x) > 2))
+    return let(whole, lambda r: F.transform(r, lambda x, i: F.struct(i.alias("ring"), x.alias("atoms"))))
+
+
+def ring_pairs(found: Column) -> Column:
+    """Array of (ri, rj, atoms): pairs of a molecule's rings with the atoms they share; rings that share none are left out."""
+    pair = lambda a: F.transform(
+        F.filter(found, lambda b: (b["ring"] > a["ring"]) & F.arrays_overlap(a["atoms"], b["atoms"])),
+        lambda b: F.struct(a["ring"].alias("ri"), b["ring"].alias("rj"), F.array_intersect(a["atoms"], b["atoms"]).alias("atoms")),
+    )
+    return F.flatten(F.transform(found, pair))

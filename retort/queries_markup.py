@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retort.functions import latex
 from retort.functions import text as fn
 from retort.operators import dedupe, evaluate, molecules, nested, vocab
 from retort.sources.tables import table
@@ -331,3 +332,44 @@ def mol_isomorphism(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the classes of molecules that share a graph, with how many ways of writing each has."""
     marked = _molecules(spark, d).filter("error IS NULL").select(molecules.signature().alias("signature"), F.xxhash64(fn.squeeze(F.col("markup"))).alias("written"))
     return marked.groupBy("signature").agg(F.count("*").alias("n"), F.count_distinct("written").alias("n_written"))
+
+
+def _quoted(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
+
+
+_IGNORED = ", ".join(map(_quoted, latex.IGNORED))
+_EXPANDED = ", ".join(f"({_quoted(w)}, [{', '.join(map(_quoted, out))}])" for w, out in latex.expansions().items())
+
+
+@query(
+    f"WITH e(w, x) AS (VALUES {_EXPANDED}), "
+    + r"""l AS (SELECT label_id, loaded_at, unnest(range(len(s))) AS pos, unnest(s) AS t FROM (SELECT label_id, loaded_at, regexp_extract_all(input_chemfig,
+  '(\\UC_[0-9A-F]{4}|\\LUC_[0-9A-F]{8}|\\[A-Za-z]+|\\[^\sA-Za-z]|\S)') AS s FROM labels_tsv)) """
+    + f"""SELECT label_id, loaded_at, string_agg(coalesce(array_to_string(x, ' '), t), ' ' ORDER BY pos) AS canonical FROM l LEFT JOIN e ON t = w
+  WHERE t NOT IN ({_IGNORED}) GROUP BY label_id, loaded_at""")
+def latex_tokens(spark: SparkSession, d: str) -> DataFrame:
+    items = fn.markup_tokens(F.col("input_chemfig"))
+    rows = _labels(spark, d).select("label_id", "loaded_at", F.array_join(latex.canonical_tokens(items), " ").alias("canonical"))
+    return rows.filter("canonical <> ''")
+
+
+@query("WITH w AS (SELECT cs_id, loaded_at, " + _WORDS.format("cs_string") + r""" AS w FROM cs_log)
+  SELECT cs_id, loaded_at, array_to_string(list_transform(list_filter(w, lambda t: NOT (prefix(t, '[:') AND suffix(t, ']'))),
+    lambda t: CASE WHEN contains(t, '[:') AND suffix(t, ']') THEN string_split(t, '[:')[1] WHEN t = '\:' THEN ':' ELSE t END), ' ') AS plain FROM w""")
+def text_without_angles(spark: SparkSession, d: str) -> DataFrame:
+    items = latex.without_angle_tokens(fn.tokens(F.col("cs_string")))
+    return table(spark, d, "cs_log").select("cs_id", "loaded_at", F.array_join(items, " ").alias("plain"))
+
+
+@query()
+def mol_rings(spark: SparkSession, d: str) -> DataFrame:
+    made = _molecules(spark, d).filter("error IS NULL").select("label_id", "loaded_at", "frag", F.inline(molecules.rings()))
+    return made.select("label_id", "loaded_at", "frag", "ring", F.size("atoms").alias("n_atoms"), F.array_join("atoms", "-").alias("atoms"))
+
+
+@query()
+def ring_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    made = _molecules(spark, d).filter("error IS NULL").select("label_id", "loaded_at", "frag", molecules.rings().alias("r"))
+    pairs = made.select("label_id", "loaded_at", "frag", F.inline(molecules.ring_pairs(F.col("r"))))
+    return pairs.select("label_id", "loaded_at", "frag", "ri", "rj", F.size("atoms").alias("n_shared"))

@@ -85,3 +85,25 @@ def test_numbering(spark):
     for g in (0, 1, 2, None):
         mine = sorted((r.i, r.number) for r in got if r.g == g)
         assert [n for _, n in mine] == list(range(len(mine)))
+
+
+def test_rings_and_what_they_share(spark):
+    rows = [
+        (1, "\\chemfig{C?[a]-[:0]C?[b]-[:90]C-[:180]C?[a,{-}]-[:90]C-[:0]C?[b,{=}]}"), (2, "\\chemfig{C?[a]?[a,{-}]-O}"), (3, "\\chemfig{C-C}"),
+        (4, "\\chemfig{C(-O?[x])(-N?[x,{-}])}"),
+    ]
+    made = molecules.fragments(spark.createDataFrame(rows, "k bigint, s string"), ["k"], "s").select("k", molecules.rings().alias("r"))
+    got = {r.k: [x.atoms for x in r.r] for r in made.collect()}
+    assert got == {1: [[0, 1, 2, 3], [1, 2, 3, 4, 5]], 2: [], 3: [], 4: [[0, 1, 2]]}
+    shared = made.filter("k = 1").select(molecules.ring_pairs(F.col("r")).alias("p")).first().p
+    assert [(p.ri, p.rj, p.atoms) for p in shared] == [(0, 1, [1, 2, 3])]
+
+
+def test_canonical_tokens(spark):
+    from retort.functions import latex
+
+    a = F.col("a")
+    assert one(spark, latex.canonical_tokens(a), items=["\\sin", "\\rm", "x", "\\nleq", "%", "\\;"]) == ["s", "i", "n", "x", "\\not", "\\leq", "\\%", "\\space"]
+    assert one(spark, latex.canonical_tokens(a)) is None
+    assert one(spark, latex.canonical_tokens(a, {}, []), items=["\\rm"]) == ["\\rm"]
+    assert one(spark, latex.without_angle_tokens(a), items=["[:30]", "-[:0]", "\\:", "?[a,{=}]"]) == ["-", ":", "?[a,{=}]"]
