@@ -75,10 +75,12 @@ def parse_fragment(markup: str) -> tuple[list[dict], list[dict]]:
     bonds: list[dict] = []
     stack: list[tuple[int, float]] = []
     hooks: dict[str, int] = {}
+    exact: list[tuple[float, float]] = []
     at, last = -1, 0.0
 
     def new_atom(x: float, y: float) -> int:
-        atoms.append({"id": len(atoms), "text": "", "x": x, "y": y})
+        exact.append((x, y))
+        atoms.append({"id": len(atoms), "text": "", "x": round(x, 6) + 0.0, "y": round(y, 6) + 0.0})
         return len(atoms) - 1
 
     for m in _TOKEN.finditer(re.sub(r"\s+", "", markup)):
@@ -86,8 +88,8 @@ def parse_fragment(markup: str) -> tuple[list[dict], list[dict]]:
             at = new_atom(0.0, 0.0)
         if m["bond"]:
             last = bond_angle(m["attr"], last)
-            here, turn = atoms[at], math.radians(last)
-            to = new_atom(round(here["x"] + math.cos(turn), 6) + 0.0, round(here["y"] + math.sin(turn), 6) + 0.0)
+            (x, y), turn = exact[at], math.radians(last)
+            to = new_atom(x + math.cos(turn), y + math.sin(turn))
             bonds.append({"id": len(bonds), "type": m["bond"], "angle": last, "src": at, "dst": to, "hook": None})
             at = to
         elif m["open"]:
@@ -174,6 +176,61 @@ def reach(start: Column | None = None) -> Column:
     return F.array_sort(F.aggregate("atoms", start_state, again)["seen"])
 
 
+def merged_into(near: float = 0.01) -> Column:
+    """Array of (id, to): for each atom the first atom, in order, that lies within ``near`` of it (itself where none does)."""
+    close = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]) < near * near
+    first = lambda a: F.get(F.filter("atoms", lambda b: (b["id"] <= a["id"]) & close(a, b)), F.lit(0))["id"]
+    return F.transform("atoms", lambda a: F.struct(a["id"].alias("id"), first(a).alias("to")))
+
+
+def merge_atoms(df: DataFrame, near: float = 0.01) -> DataFrame:
+    """Molecules whose coincident atoms are one: the first atom stays, with its own text or else the first text merged into it.
+
+    Bonds follow their atoms; bonds within one atom go, and of several bonds
+    between two atoms the strongest stays.  Atoms keep their ids.
+    """
+    to = df.withColumn("_to", molecule_map(merged_into(near)))
+    own = lambda a: F.filter("atoms", lambda b: (F.get("_to", b["id"]) == a["id"]) & (b["text"] != ""))
+    kept = F.transform(
+        F.filter("atoms", lambda a: F.get("_to", a["id"]) == a["id"]),
+        lambda a: a.withField("text", F.when(a["text"] == "", F.coalesce(F.get(own(a), F.lit(0))["text"], F.lit(""))).otherwise(a["text"])),
+    )
+    moved = F.transform("bonds", lambda b: b.withField("src", F.get("_to", b["src"])).withField("dst", F.get("_to", b["dst"])))
+    one = to.withColumns({"atoms": kept, "bonds": moved}).withColumn("bonds", without_self_bonds())
+    return one.withColumn("bonds", strongest_bonds()).drop("_to")
+
+
+def molecule_map(pairs: Column) -> Column:
+    """The ``to`` of each atom, at the atom's id (ids count from 0)."""
+    return F.transform(pairs, lambda p: p["to"])
+
+
+def seed_pairs(a: str, b: str, k: int = 4) -> Column:
+    """The k pairs of atoms of two molecules' arrays that lie nearest, as (distance, a, b); each molecule is moved so that its least x and y are 0.
+
+    Ties go to the lower ids.
+    """
+    least = lambda c, f: F.array_min(F.transform(c, lambda t: t[f]))
+    apart = lambda s, t, f: (s[f] - least(a, f)) - (t[f] - least(b, f))
+    far = lambda s, t: F.round(F.sqrt(apart(s, t, "x") * apart(s, t, "x") + apart(s, t, "y") * apart(s, t, "y")), 4)
+    pairs = F.flatten(F.transform(a, lambda s: F.transform(b, lambda t: F.struct(far(s, t).alias("distance"), s["id"].alias("a"), t["id"].alias("b")))))
+    return F.slice(F.array_sort(pairs), 1, k)
+
+
+def flat_text(within: float = 15.0) -> Column:
+    """The text of a molecule that is a straight chain: all bonds lead on to the right, within ``within`` degrees; null for any other."""
+    straight = F.forall("bonds", lambda b: b["hook"].isNull() & (b["src"] == b["id"]) & ((b["angle"] <= within) | (b["angle"] >= 360 - within)))
+    pieces = F.transform("atoms", lambda a, i: F.concat(F.when(i > 0, F.get("bonds", i - 1)["type"]).otherwise(F.lit("")), a["text"]))
+    return F.when(straight, F.array_join(pieces, ""))
+
+
+def outer_bonds(found: Column) -> Column:
+    """Array of (ring, bonds): the bonds with exactly one end in the ring."""
+    inside = lambda r, x: F.array_contains(r["atoms"], x)
+    of = lambda r: F.transform(F.filter("bonds", lambda b: inside(r, b["src"]) != inside(r, b["dst"])), lambda b: b["id"])
+    return F.transform(found, lambda r: F.struct(r["ring"].alias("ring"), of(r).alias("bonds")))
+
+
 def n_rings() -> Column:
     """Independent rings of a connected molecule: distinct pairs of bonded atoms less atoms plus one."""
     pairs = F.array_distinct(F.transform("bonds", lambda b: F.struct(F.least(b["src"], b["dst"]), F.greatest(b["src"], b["dst"]))))

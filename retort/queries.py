@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort import queries_areas, queries_markup, queries_plans
+from retort import queries_areas, queries_graph, queries_markup, queries_plans
 from retort.operators import nested
 from retort.sources import lines
 from retort.sources.tables import table
@@ -60,7 +60,7 @@ _PATH = "SELECT record_id, area_path, parent_path FROM "
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_areas.SQL | queries_markup.SQL | queries_plans.SQL | {
+    return queries_areas.SQL | queries_graph.SQL | queries_markup.SQL | queries_plans.SQL | {
         "p2_found": _LEVELS + " UNION ALL ".join(_PATH + t for t in ("topics", "cols", "lns")),
         "p2_topics": _LEVELS + _AREA + "topics",
         "p2_columns": _LEVELS + _AREA + "cols",
@@ -74,4 +74,4 @@ def oracle_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Query]:
     own = (p2_found, p2_records, p2_topics, p2_columns, p2_lines, p4_found, p4_rejected, p4_valid)
-    return {q.__name__: q for q in own} | queries_areas.FOUND | queries_markup.FOUND | queries_plans.FOUND
+    return {q.__name__: q for q in own} | queries_areas.FOUND | queries_graph.FOUND | queries_markup.FOUND | queries_plans.FOUND

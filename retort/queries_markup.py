@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from retort.functions import latex
 from retort.functions import text as fn
 from retort.operators import dedupe, evaluate, molecules, nested, vocab
-from retort.sources.tables import table
+from retort.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -305,12 +305,8 @@ def metric_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _molecules(spark: SparkSession, d: str) -> DataFrame:
-    return molecules.fragments(_labels(spark, d), ["label_id", "loaded_at"], "input_chemfig")
-
-
-@query()
-def mol_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _molecules(spark, d).select("label_id", "loaded_at", "frag", F.size("atoms").alias("n_atoms"), F.size("bonds").alias("n_bonds"))
+    rows = spread(_labels(spark, d).select("label_id", "loaded_at", "input_chemfig"))
+    return molecules.fragments(rows, ["label_id", "loaded_at"], "input_chemfig")
 
 
 @query()
@@ -360,16 +356,3 @@ def latex_tokens(spark: SparkSession, d: str) -> DataFrame:
 def text_without_angles(spark: SparkSession, d: str) -> DataFrame:
     items = latex.without_angle_tokens(fn.tokens(F.col("cs_string")))
     return table(spark, d, "cs_log").select("cs_id", "loaded_at", F.array_join(items, " ").alias("plain"))
-
-
-@query()
-def mol_rings(spark: SparkSession, d: str) -> DataFrame:
-    made = _molecules(spark, d).filter("error IS NULL").select("label_id", "loaded_at", "frag", F.inline(molecules.rings()))
-    return made.select("label_id", "loaded_at", "frag", "ring", F.size("atoms").alias("n_atoms"), F.array_join("atoms", "-").alias("atoms"))
-
-
-@query()
-def ring_adjacency(spark: SparkSession, d: str) -> DataFrame:
-    made = _molecules(spark, d).filter("error IS NULL").select("label_id", "loaded_at", "frag", molecules.rings().alias("r"))
-    pairs = made.select("label_id", "loaded_at", "frag", F.inline(molecules.ring_pairs(F.col("r"))))
-    return pairs.select("label_id", "loaded_at", "frag", "ri", "rj", F.size("atoms").alias("n_shared"))
