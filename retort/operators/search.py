@@ -64,3 +64,101 @@ def next_item(items: Column, last: Column) -> Column:
 def differences(items: Column) -> Column:
     """Each entry less the one before; the first entry as it is."""
     return F.transform(items, lambda v, i: v - F.when(i > 0, F.get(items, i - 1)).otherwise(F.lit(0)))
+
+
+def kth_best(scores: Column, k: int) -> Column:
+    """Index, from 0, of the k-th greatest score (k from 1); the lower index among equals; null where there are fewer."""
+    order = F.array_sort(F.transform(scores, lambda v, i: F.struct((-v).alias("neg"), i.alias("i"))))
+    return F.get(order, F.lit(k - 1))["i"]
+
+
+def run_ranks(items: Column, token: str) -> Column:
+    """At each place of ``token`` its rank, from 1, in the run of equal tokens there; 0 elsewhere."""
+    step = lambda out, t: F.concat(out, F.array(F.when(t == token, F.coalesce(F.element_at(out, -1), F.lit(0)) + 1).otherwise(F.lit(0))))
+    first = lambda t: F.array(F.when(t == token, F.lit(1)).otherwise(F.lit(0)))
+    whole = F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), first(F.get(items, F.lit(0))), step)
+    return F.when(F.size(items) > 0, whole).when(items.isNotNull(), F.array().cast("array<int>"))
+
+
+def offsets(flags: Column) -> Column:
+    """At each true flag the number of true flags up to it; 0 elsewhere."""
+    counts = lambda a, i: F.size(F.filter(F.slice(a, 1, i + 1), lambda f: f))
+    return let(flags, lambda a: F.transform(a, lambda f, i: F.when(f, counts(a, i)).otherwise(F.lit(0))))
+
+
+def used_before(items: Column) -> Column:
+    """At each place the distinct entries other than -1 before it, sorted."""
+    return let(items, lambda a: F.transform(a, lambda _, i: F.array_sort(F.array_distinct(F.filter(F.slice(a, 1, i), lambda v: v >= 0)))))
+
+
+def molecule_end(items: Column) -> Column:
+    """Place of the bracket that closes the last molecule, from 0; null where none starts or it is still open."""
+    numbered = F.transform(items, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"), F.lit(False).alias("on"))
+
+    def step(s: Column, m: Column) -> Column:
+        begins = m["t"] == "\\chemfig"
+        depth = F.when(begins, 0).otherwise(s["depth"] + F.when(m["t"] == "{", 1).when(m["t"] == "}", -1).otherwise(0))
+        closes = s["on"] & ~begins & (m["t"] == "}") & (depth == 0)
+        end = F.when(begins, None).when(closes, m["i"]).otherwise(s["end"])
+        return F.struct(depth.alias("depth"), end.cast("int").alias("end"), ((s["on"] | begins) & ~closes).alias("on"))
+
+    return F.aggregate(numbered, start, step)["end"]
+
+
+def candidates(items: Column, used: Column, wanted) -> Column:
+    """Places of the wanted tokens that ``used`` doesn't name, in order."""
+    places = F.transform(F.filter(F.transform(items, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda m: wanted(m["t"])), lambda m: m["i"])
+    return F.array_except(places, F.coalesce(used, F.array().cast("array<int>")))
+
+
+def some_of(items: Column, most: int, *seed: Column) -> Column:
+    """Up to ``most`` of the items, chosen by a hash of seed and item, so that every run chooses alike; sorted."""
+    drawn = F.slice(F.array_sort(F.transform(items, lambda v: F.struct(F.xxhash64(*seed, v).alias("h"), v.alias("v")))), 1, most)
+    return F.array_sort(F.transform(drawn, lambda d: d["v"]))
+
+
+def fan_out(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row once for each candidate, at least once, numbered from 0 in column ``name``."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)))
+
+
+def decode_beams(df: DataFrame, sample: str, step: str, log_probs: str, k: int) -> DataFrame:
+    """(sample, rank, tokens, score): the k best token sequences of each sample over its steps, by beams of width k.
+
+    Each step first keeps its own k best tokens; a sample's steps (its length, not
+    its beams times tokens) are gathered.  Ties go to the lower tokens.
+    """
+    scored = F.transform(log_probs, lambda v, i: F.struct((-v).alias("neg"), i.alias("token")))
+    own = df.select(F.col(sample).alias("sample"), F.struct(F.col(step).alias("step"), F.slice(F.array_sort(scored), 1, k).alias("best")).alias("s"))
+    steps = own.groupBy("sample").agg(F.array_sort(F.collect_list("s")).alias("steps"))
+    start = F.expr("array(named_struct('neg', 0D, 'tokens', cast(array() as array<int>)))")
+    longer = lambda beams, s: F.slice(
+        F.array_sort(
+            F.flatten(F.transform(beams, lambda b: F.transform(s["best"], lambda t: F.struct((b["neg"] + t["neg"]).alias("neg"), F.concat(b["tokens"], F.array(t["token"])).alias("tokens")))))
+        ), 1, k,
+    )
+    best = steps.select("sample", F.posexplode(F.aggregate("steps", start, longer)).alias("rank", "b"))
+    return best.select("sample", "rank", "b.tokens", (-F.col("b.neg")).alias("score"))
+
+
+def scatter_add(df: DataFrame, slot: str, values: str) -> DataFrame:
+    """(slot, pos, total): the arrays of each slot added up place by place; partial sums before the shuffle."""
+    long = df.select(F.col(slot).alias("slot"), F.posexplode(values).alias("pos", "v"))
+    return long.groupBy("slot", "pos").agg(F.sum("v").alias("total"))
+
+
+def model_average(df: DataFrame, part: str, values: str) -> DataFrame:
+    """(pos, mean): the mean over the parts (workers) of each parameter's mean within the part; rows without a part or values don't count."""
+    long = df.filter(F.col(part).isNotNull()).select(F.col(part).alias("part"), F.posexplode(values).alias("pos", "v"))
+    return long.groupBy("part", "pos").agg(F.avg("v").alias("v")).groupBy("pos").agg(F.avg("v").alias("mean"))
+
+
+def momentum_update(old: Column, mean: Column, delta: Column, rate: float, momentum: float) -> Column:
+    """The parameter after a step towards the mean with momentum: old + momentum * delta + rate * (mean - old)."""
+    return old + F.lit(momentum) * delta + F.lit(rate) * (mean - old)
+
+
+def ratio_or_nan(total: Column, n: Column) -> Column:
+    """total / n; NaN where nothing was counted."""
+    return F.when(n > 0, total / n).otherwise(F.lit(float("nan")))
