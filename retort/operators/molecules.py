@@ -211,9 +211,12 @@ def seed_pairs(a: str, b: str, k: int = 4) -> Column:
     Ties go to the lower ids.
     """
     least = lambda c, f: F.array_min(F.transform(c, lambda t: t[f]))
-    apart = lambda s, t, f: (s[f] - least(a, f)) - (t[f] - least(b, f))
-    far = lambda s, t: F.round(F.sqrt(apart(s, t, "x") * apart(s, t, "x") + apart(s, t, "y") * apart(s, t, "y")), 4)
-    pairs = F.flatten(F.transform(a, lambda s: F.transform(b, lambda t: F.struct(far(s, t).alias("distance"), s["id"].alias("a"), t["id"].alias("b")))))
+    at = lambda t, x, y: F.struct(t["id"].alias("id"), (t["x"] - x).alias("x"), (t["y"] - y).alias("y"))
+    moved = lambda c: let(least(c, "x"), lambda x: let(least(c, "y"), lambda y: F.transform(c, lambda t: at(t, x, y))))
+    far = lambda s, t: F.round(F.sqrt((s["x"] - t["x"]) * (s["x"] - t["x"]) + (s["y"] - t["y"]) * (s["y"] - t["y"])), 4)
+    # No more than k pairs of one atom can be among the k nearest.
+    own = lambda s, m: F.slice(F.array_sort(F.transform(m, lambda t: F.struct(far(s, t).alias("distance"), s["id"].alias("a"), t["id"].alias("b")))), 1, k)
+    pairs = let(moved(b), lambda m: F.flatten(F.transform(moved(a), lambda s: own(s, m))))
     return F.slice(F.array_sort(pairs), 1, k)
 
 
