@@ -253,10 +253,9 @@ _RAW = _AREAS + r""", e AS (SELECT record_id, i || '-' || j || '-' || k AS area_
 
 
 def _line_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with both a text and a raw text, of ASCII only (engines count other characters differently)."""
+    """Lines with both a text and a raw text. The SQL leaves out lines that are not all ASCII, as DuckDB counts bytes."""
     lines = nested.area_table(table(spark, d, "records"), 3).filter("text IS NOT NULL AND raw_text IS NOT NULL")
-    plain = lines.filter(F.concat("text", "raw_text").rlike(r"\A[ -~\s]*\z"))
-    return plain.select("record_id", "area_path", F.col("raw_text").alias("label"), F.col("text").alias("hyp"))
+    return lines.select("record_id", "area_path", F.col("raw_text").alias("label"), F.col("text").alias("hyp"))
 
 
 @query(_RAW + "SELECT record_id, area_path, CAST(levenshtein(label, hyp) AS INTEGER) AS dist FROM e")
@@ -279,10 +278,10 @@ best AS (SELECT cs_id, x.j AS best, CAST(x.d AS INTEGER) AS dist, CAST(x.n AS IN
 
 
 def _best(spark: SparkSession, d: str) -> DataFrame:
-    """Of all labels of a sequence's file, the one nearest to the sequence."""
+    """Of all labels of a sequence's file, the one nearest to the sequence. The SQL leaves out pairs that are not all ASCII, as DuckDB counts bytes."""
     hyps = table(spark, d, "cs_log").groupBy("cs_id").agg(F.max("file_path").alias("file_path"), F.max("cs_string").alias("cs_string"))
     labels = _labels(spark, d).select("file_path", "label_id", "input_chemfig").distinct()
-    pairs = hyps.join(labels, "file_path").filter(F.concat("input_chemfig", "cs_string").rlike(r"\A[ -~\s]*\z"))
+    pairs = hyps.join(labels, "file_path").filter("input_chemfig IS NOT NULL AND cs_string IS NOT NULL")
     pairs = pairs.select("cs_id", "label_id", fn.squeeze(F.col("input_chemfig")).alias("label"), fn.squeeze(F.col("cs_string")).alias("hyp"))
     return evaluate.best_hypothesis(pairs, ["cs_id"], "label", "hyp", "label_id")
 
