@@ -3,7 +3,8 @@
 Copies of a text (white space removed) form one class, so that a text that holds
 a large share of all rows is handled once.  Every class text is cut into grams
 of ``K`` characters; in each window of ``w`` grams the one of least order is
-selected.  Two texts that share a clean stretch of ``K + w - 1`` characters share
+selected, grams that few texts of a sample hold before common ones: the order is
+one for all texts, so that it changes the cost but not what is certain.  Two texts that share a clean stretch of ``K + w - 1`` characters share
 a selected gram.  Grams selected on both sides are joined across splits, the
 seeds of a pair are chained, and chained pairs are aligned by edit distance.
 
@@ -25,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K = 28
-#: Grams a window has at most; a text of L characters takes L / 9, within 4 and this.
-WINDOW = 28
+K = 16
+#: Grams a window has at most; a text of L characters takes L / 10, within 4 and this.
+WINDOW = 24
 #: Texts from LONG_MIN on are winnowed; up to SHORT_MAX they are joined by segments.
 LONG_MIN, SHORT_MAX = 64, 71
 #: Texts of up to MID_MAX characters also give grams of MID_K characters, in windows of MID_WINDOW.
@@ -35,7 +36,11 @@ MID_MAX, MID_K, MID_WINDOW = 134, 10, 4
 #: One edit for this many characters of the longer text.
 PER_EDIT = 10
 #: Grams with fewer digits than this (macros, fixed phrases) are selected only where a window has no others.
-TELLING = 6
+TELLING = 4
+#: About so many distinct texts, cut to so many characters, tell how common a gram is; slots of their table (a byte each, broadcast).
+SAMPLE, SAMPLE_CHARS, SLOTS = 10_000, 2_000, 1 << 21
+#: Grams held by fewer than 2 to this of the sampled texts (less one) count as equally rare: else grams that an edit made, which nobody shares, would go first.
+RARE = 5
 TRAIN, EVAL = 1, 2
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -103,8 +108,28 @@ def gram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def winnow(texts: list[str], width: int, k: int = K, telling: int = TELLING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, hash) of the selected grams of texts of at least k + width - 1 characters."""
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(40)).astype(np.int64) % SLOTS
+
+
+def gram_levels(rows: DataFrame) -> np.ndarray | None:
+    """How common the grams of each slot are in a sample of the distinct texts of ``rows`` (logarithm of the number of texts, 0 for rare ones); null without texts.
+
+    The sample is chosen by the texts' hashes, so that equal rows give equal levels.
+    """
+    hashed = rows.select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    every = max(1, (hashed.agg(F.approx_count_distinct("h")).first()[0] or 0) // SAMPLE)
+    sample = hashed.filter(F.pmod("h", F.lit(every)) == 0).groupBy("h").agg(F.min("text").alias("text")).select("text").toPandas()["text"]
+    n = np.zeros(SLOTS, np.int64)
+    for text in sample:
+        if len(text) >= K:
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            np.add.at(n, np.unique(_slot(gram_hashes(codes))), 1)
+    return np.clip(np.log2(n + 1).astype(np.int64) - RARE + 1, 0, 31).astype(np.uint8) if len(sample) else None
+
+
+def winnow(texts: list[str], width: int, k: int = K, telling: int = TELLING, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, position, hash) of the selected grams of texts of at least k + width - 1 characters; ``levels`` (rare first) goes before ``telling``."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     end = np.cumsum(size)
@@ -114,7 +139,10 @@ def winnow(texts: list[str], width: int, k: int = K, telling: int = TELLING) ->
     few = (digits[k:] - digits[:-k]) < telling
     at = np.arange(len(hashes), dtype=np.uint64)
     low = np.uint64(0xFFFF)
-    order = ((hashes >> np.uint64(1)) | (few.astype(np.uint64) << np.uint64(63))) & ~low | (at & low)
+    order = (hashes >> np.uint64(1)) | (few.astype(np.uint64) << np.uint64(63))
+    if levels is not None:
+        order = (order >> np.uint64(5)) | (levels[_slot(hashes)].astype(np.uint64) << np.uint64(59))
+    order = order & ~low | (at & low)
     least = _sliding(order, width, np.minimum)
     at = np.arange(len(least))
     whole = at + k + width - 1 <= end[row[: len(least)]]
@@ -125,7 +153,7 @@ def winnow(texts: list[str], width: int, k: int = K, telling: int = TELLING) ->
 
 
 def window_of(size: np.ndarray) -> np.ndarray:
-    return np.clip(size // 9 // 4 * 4, 4, WINDOW)
+    return np.clip(size // 10 // 4 * 4, 4, WINDOW)
 
 
 def _segments(size: int, parts: int) -> list[tuple[int, int]]:
@@ -154,7 +182,7 @@ def probe_keys(text: str) -> set[str]:
     return keys
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], levels: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     def batch(cls, sides, size, place, key) -> pa.RecordBatch:
@@ -166,14 +194,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts = b.column("text").to_pylist()
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         long = size >= LONG_MIN
-        tiers = [(K, TELLING, np.where(long, window_of(size), 0)), (MID_K, 0, np.where(long & (size <= MID_MAX), MID_WINDOW, 0))]
-        for k, telling, width in tiers:
+        tiers = [(K, TELLING, levels, np.where(long, window_of(size), 0)), (MID_K, 0, None, np.where(long & (size <= MID_MAX), MID_WINDOW, 0))]
+        for k, telling, common, width in tiers:
             for w in np.unique(width[width > 0]):
                 rows = np.flatnonzero(width == w)
                 total = np.cumsum(size[rows])
                 for part in np.split(rows, np.searchsorted(total, np.arange(2_000_000, total[-1], 2_000_000))):
                     if len(part):
-                        owner, place, key = winnow([texts[i] for i in part], int(w), k, telling)
+                        owner, place, key = winnow([texts[i] for i in part], int(w), k, telling, common)
                         own = part[owner]
                         yield batch(cls[own], sides[own], size[own], place, key)
         out = []
@@ -197,9 +225,9 @@ def chain_length(seeds: Column) -> Column:
     return F.aggregate(seeds, start, step)["n"]
 
 
-def class_pairs(distinct: DataFrame) -> DataFrame:
+def class_pairs(distinct: DataFrame, levels: np.ndarray | None = None) -> DataFrame:
     """(cls_e, text_e, cls_t, text_t, distance, seeds): different texts, one of an evaluation split and one of train, within the allowed edits."""
-    marks = distinct.mapInArrow(_fingerprints, "cls bigint, sides int, size int, place int, key bigint")
+    marks = distinct.mapInArrow(lambda batches: _fingerprints(batches, levels), "cls bigint, sides int, size int, place int, key bigint")
     side = lambda bit, x: marks.filter(F.col("sides").bitwiseAND(bit) > 0).select(
         "key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "size", "place"))
     )
@@ -225,7 +253,7 @@ def overlaps(labels: DataFrame) -> DataFrame:
     """(label_id_e, label_id_t, distance, size): every row of an evaluation split with every train row it overlaps."""
     rows = members(labels)
     tag = lambda text: F.xxhash64(F.lit(1), text)  # a second hash, that tells texts of one first hash apart
-    found = class_pairs(classes(rows)).select(
+    found = class_pairs(classes(rows), gram_levels(rows)).select(
         "cls_e", tag(F.col("text_e")).alias("tag_e"), "cls_t", tag(F.col("text_t")).alias("tag_t"), "distance",
         F.greatest(F.length("text_e"), F.length("text_t")).alias("size"),
     )

@@ -132,3 +132,17 @@ def test_languages(spark):
     parts = [r for r in language.segments(docs, langs).collect() if r.doc_id == 900]
     assert [p.lang for p in sorted(parts, key=lambda p: p.segment_no)] == ["en", "de"]
     assert language.page_languages(docs.limit(0), langs).count() == 0
+
+
+def test_one_clean_stretch_of_43_characters_is_enough(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        base = [rng.choice("-=[:]0123456789CHNO") for _ in range(280)]
+        near, clean = list(base), rng.randrange(280 - 43)
+        for p in [*range(clean - 1, -1, -15), *range(clean + 43, 280, 15)]:
+            near[p] = "z"
+        assert 0 < edits("".join(base), "".join(near)) <= 28
+        rows += [(2 * i, "".join(base), "train"), (2 * i + 1, "".join(near), "test")]
+    df = spark.createDataFrame(rows, "label_id bigint, input_chemfig string, split string").selectExpr("*", "'' AS file_path", "'' AS source")
+    assert {tuple(r) for r in overlap.overlap_pairs(df).collect()} == {(2 * i, 2 * i + 1) for i in range(60)}
