@@ -202,10 +202,10 @@ def struct_eval(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def atom_seed_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """For the first and the last label of a file name, the four pairs of atoms of their first molecules that lie nearest."""
+    """For the first and the last label of a file name, the four pairs of atoms that lie nearest, for each two molecules at one place in the text."""
     labels = _by_name(spark, d)
     side = lambda pick, x: molecules.fragments(pick(labels, ["base_name"], ["loaded_at", "label_id"]), ["base_name"], "input_chemfig").filter(
-        "error IS NULL AND frag = 0"
-    ).select("base_name", F.col("atoms").alias(x))
-    both = side(dedupe.first_wins, "a").join(side(dedupe.last_wins, "b"), "base_name")
-    return both.select("base_name", F.posexplode(molecules.seed_pairs("a", "b")).alias("rank", "p")).select("base_name", "rank", "p.distance", "p.a", "p.b")
+        "error IS NULL"
+    ).select("base_name", "frag", F.col("atoms").alias(x))
+    both = side(dedupe.first_wins, "a").join(side(dedupe.last_wins, "b"), ["base_name", "frag"])
+    return both.select("base_name", "frag", F.posexplode(molecules.seed_pairs("a", "b")).alias("rank", "p")).select("base_name", "frag", "rank", "p.distance", "p.a", "p.b")

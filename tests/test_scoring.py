@@ -3,7 +3,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from retort import queries_markup  # noqa: E402
+from retort import queries_graph, queries_markup  # noqa: E402
 
 
 def edits(a, b):
@@ -55,3 +55,14 @@ def test_line_pairs_keep_characters_beyond_ascii(spark, tmp_path, monkeypatch):
     assert {r.record_id: r.dist for r in queries_markup.edit_distance(spark, "").collect()} == {k: edits(a, b) for k, _, a, b in whole}
     ops = {r.record_id: r.n_del + r.n_sub + r.n_ins for r in queries_markup.edit_ops_dsi(spark, "").collect()}
     assert ops == {1: 1, 2: 1, 5: 1}
+
+
+def test_all_molecules_of_a_label_get_seeds(spark, tmp_path):
+    rows = [
+        (1, "x/f1.png", "\\chemfig{C-[:0]O} and \\chemfig{N}", "2024-01-01"), (2, "x/f1.png", "\\chemfig{C-[:0]O} \\chemfig{N-[:90]O}", "2024-01-02"),
+        (3, "x/f2.png", "\\chemfig{C)} \\chemfig{C-[:0]C}", "2024-01-01"), (4, "x/f2.png", "\\chemfig{C} \\chemfig{C-[:0]C}", "2024-01-02"),
+    ]
+    spark.createDataFrame(rows, "label_id bigint, file_path string, input_chemfig string, loaded_at string").write.parquet(f"{tmp_path}/labels_tsv.parquet")
+    got = {(r.base_name, r.frag, r.rank): (r.distance, r.a, r.b) for r in queries_graph.atom_seed_pairs(spark, str(tmp_path)).collect()}
+    assert {k[:2] for k in got} == {("f1", 0), ("f1", 1), ("f2", 1)}
+    assert got["f1", 1, 0] == (0.0, 0, 0) and got["f1", 1, 1][1:] == (0, 1) and ("f1", 1, 2) not in got
