@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def best_hypothesis(pairs: DataFrame, keys: list[str], label: str, hyp: str, order: str) -> DataFrame:
+def best_hypothesis(pairs: DataFrame, keys: list[str], label: str, hyp: str, order: str, texts: bool = False) -> DataFrame:
     """The hypothesis of each key with the least edit distance; the first by ``order`` among equals.
 
-    Columns: the keys, ``best`` (its order), ``dist``, ``n`` (length of the label).
+    Columns: the keys, ``best`` (its order), ``dist``, ``n`` (length of the label), and with ``texts`` the two texts, ``label`` and ``hyp``.
     """
     scored = pairs.withColumn("_d", F.levenshtein(label, hyp))
-    best = F.min(F.struct(F.col("_d"), F.col(order), F.length(label).alias("_n")))
-    return scored.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col(f"_b.{order}").alias("best"), F.col("_b._d").alias("dist"), F.col("_b._n").alias("n"))
+    best = F.min(F.struct(F.col("_d"), F.col(order), F.length(label).alias("_n"), *([label, hyp] if texts else [])))
+    return scored.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col(f"_b.{order}").alias("best"), F.col("_b._d").alias("dist"), F.col("_b._n").alias("n"),
+        *([F.col(f"_b.{label}").alias("label"), F.col(f"_b.{hyp}").alias("hyp")] if texts else []))
 
 
 def count_edits(a: list[str], b: list[str]) -> tuple[int, int, int]:

@@ -277,13 +277,13 @@ b AS (SELECT k AS cs_id, min({'d': levenshtein(label, hyp), 'j': j, 'n': length(
 best AS (SELECT cs_id, x.j AS best, CAST(x.d AS INTEGER) AS dist, CAST(x.n AS INTEGER) AS n FROM b) """
 
 
-def _best(spark: SparkSession, d: str) -> DataFrame:
+def _best(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
     """Of all labels of a sequence's file, the one nearest to the sequence. The SQL leaves out pairs that are not all ASCII, as DuckDB counts bytes."""
     hyps = table(spark, d, "cs_log").groupBy("cs_id").agg(F.max("file_path").alias("file_path"), F.max("cs_string").alias("cs_string"))
     labels = _labels(spark, d).select("file_path", "label_id", "input_chemfig").distinct()
     pairs = hyps.join(labels, "file_path").filter("input_chemfig IS NOT NULL AND cs_string IS NOT NULL")
     pairs = pairs.select("cs_id", "label_id", fn.squeeze(F.col("input_chemfig")).alias("label"), fn.squeeze(F.col("cs_string")).alias("hyp"))
-    return evaluate.best_hypothesis(pairs, ["cs_id"], "label", "hyp", "label_id")
+    return evaluate.best_hypothesis(pairs, ["cs_id"], "label", "hyp", "label_id", texts)
 
 
 @query(_HYPS + "SELECT cs_id, best, dist, n FROM best")
@@ -297,9 +297,12 @@ def best_hypothesis(spark: SparkSession, d: str) -> DataFrame:
   SELECT *, round((n - d - s - i) / CASE WHEN n = 0 THEN 1e-10 ELSE CAST(n AS DOUBLE) END, 6) AS wacc, round((n - d - s) / CASE WHEN n = 0 THEN 1e-10 ELSE CAST(n AS DOUBLE) END, 6) AS wcor,
     round(sent_correct / CAST(sent_n AS DOUBLE), 6) AS sacc FROM g""")
 def metric_table(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by characters; d, s, i are those of one shortest edit script. The SQL counts every edit as replaced."""
     dist, n, zero = F.col("dist"), F.col("n"), F.lit(0)
-    return evaluate.metric_table(_best(spark, d), {
-        "base": (dist == 0, zero, dist, zero, n), "near": (dist * 2 <= n, zero, zero, zero, F.lit(1)), "empty": (zero, zero, zero, zero, zero),
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    best = _best(spark, d, texts=True).select("dist", "n", chars("label").alias("a"), chars("hyp").alias("b"))
+    return evaluate.metric_table(evaluate.edit_counts(best, "a", "b"), {
+        "base": (dist == 0, F.col("n_del"), F.col("n_sub"), F.col("n_ins"), n), "near": (dist * 2 <= n, zero, zero, zero, F.lit(1)), "empty": (zero, zero, zero, zero, zero),
     })
 
 

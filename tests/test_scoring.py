@@ -19,7 +19,7 @@ def edits(a, b):
 LABELS = [
     (1, "f1", "中é-O"), (2, "f1", "C-O"), (3, "f2", "😀=N"), (4, "f3", "CH_3 -O"), (5, "f3", "CH-é"), (6, "f3", None), (7, "f4", None), (8, None, "C"), (9, "f5", "é"),
 ]
-HYPS = [(1, "f1", "中 é - N"), (2, "f2", "é = N"), (3, "f3", "C H - O"), (4, "f4", "C"), (5, "f5", None), (6, "f6", "C"), (7, None, "C")]
+HYPS = [(1, "f1", "中 é - N"), (2, "f2", "é = N C l"), (3, "f3", "C H O"), (4, "f4", "C"), (5, "f5", None), (6, "f6", "C"), (7, None, "C")]
 
 
 def tables(spark, folder):
@@ -66,3 +66,14 @@ def test_all_molecules_of_a_label_get_seeds(spark, tmp_path):
     got = {(r.base_name, r.frag, r.rank): (r.distance, r.a, r.b) for r in queries_graph.atom_seed_pairs(spark, str(tmp_path)).collect()}
     assert {k[:2] for k in got} == {("f1", 0), ("f1", 1), ("f2", 1)}
     assert got["f1", 1, 0] == (0.0, 0, 0) and got["f1", 1, 1][1:] == (0, 1) and ("f1", 1, 2) not in got
+
+
+def test_metric_table_counts_deleted_and_inserted_characters(spark, tmp_path):
+    folder = tables(spark, tmp_path)
+    base = {r.metric: r for r in queries_markup.metric_table(spark, folder).collect()}["base"]
+    want = nearest()
+    label, hyp = {j: t for j, _, t in LABELS}, {k: t for k, _, t in HYPS}
+    longer = sum(len(label[j].replace(" ", "")) - len(hyp[k].replace(" ", "")) for k, (j, _, _) in want.items())
+    assert (base.sent_n, base.sent_correct, base.n) == (3, 0, sum(n for _, _, n in want.values()))
+    assert base.d + base.s + base.i == sum(dist for _, dist, _ in want.values()) and base.d - base.i == longer != 0
+    assert base.wcor == round((base.n - base.d - base.s) / base.n, 6)
