@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +25,12 @@ def ship(spark: SparkSession) -> None:
     sc._retort_sent = True
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with the package on the workers, whatever DataFrame it starts from."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through a reliable checkpoint.
 
