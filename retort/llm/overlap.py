@@ -1,17 +1,22 @@
 """Same or nearly same markup across splits, by winnowing fingerprints.
 
 Copies of a text (white space removed) form one class, so that a text that holds
-a large share of all rows is handled once.  Every class text is cut into grams
-of ``K`` characters; in each window of ``w`` grams the one of least order is
-selected, grams that few texts of a sample hold before common ones: the order is
-one for all texts, so that it changes the cost but not what is certain.  Two texts that share a clean stretch of ``K + w - 1`` characters share
-a selected gram.  Grams selected on both sides are joined across splits, the
-seeds of a pair are chained, and chained pairs are aligned by edit distance.
-
-Texts of up to ``MID_MAX`` characters also give shorter grams in narrower windows.
-Texts of up to ``SHORT_MAX`` characters, where clean stretches are short, are
-joined exactly instead: a text within ``d`` edits of a text cut into ``d + 1``
-segments holds one of the segments unchanged, shifted by at most ``d``.
+a large share of all rows is handled once; equal texts overlap as members of one
+class.  Every class text is cut into grams of ``gram(size)`` characters, and in
+each window of grams the one of least hash is selected (winnowing), so that two
+texts with a clean stretch of ``stretch(size)`` characters share a selected gram.
+Selected grams are joined across splits; each carries how often the characters
+of 32 groups occur before and after it, which rules out most chance seeds inside
+the join: an edit changes these counts by two at most.  The seeds of a pair are
+chained collinearly, pairs whose cheapest chain implies more edits than allowed
+are dropped, and the others are aligned outwards from the ends of their chain.
+
+Lengths: the same steps serve every text.  Gram and window grow with the length
+(``LEVELS``), because a tenth of edits leaves a short text only short clean
+stretches; a text of train also gives the grams of the levels its partners may
+have.  ``gram`` and ``window`` set by hand hold for every length: with 5 and 5
+every pair with a clean stretch of 9 characters is found, which includes all
+pairs of at least 100 characters, at a far higher price.
 
 Defined results: null and blank markup, rows without a known split and rows
 without label_id pair with nothing; a row delivered again counts once.
@@ -26,21 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K = 16
-#: Grams a window has at most; a text of L characters takes L / 10, within 4 and this.
-WINDOW = 24
-#: Texts from LONG_MIN on are winnowed; up to SHORT_MAX they are joined by segments.
-LONG_MIN, SHORT_MAX = 64, 71
-#: Texts of up to MID_MAX characters also give grams of MID_K characters, in windows of MID_WINDOW.
-MID_MAX, MID_K, MID_WINDOW = 134, 10, 4
+from retort.session import map_batches
+
+#: Least length, characters of a gram, grams of a window, digits a gram needs to be preferred. The last level's window grows by one every ten characters.
+LEVELS = ((0, 4, 2, 0), (70, 7, 7, 1), (100, 10, 4, 2), (140, 14, 6, 4))
+#: What the growing window gains at most.
+GROWTH = 24
 #: One edit for this many characters of the longer text.
 PER_EDIT = 10
-#: Grams with fewer digits than this (macros, fixed phrases) are selected only where a window has no others.
-TELLING = 4
-#: About so many distinct texts, cut to so many characters, tell how common a gram is; slots of their table (a byte each, broadcast).
-SAMPLE, SAMPLE_CHARS, SLOTS = 10_000, 2_000, 1 << 21
-#: Grams held by fewer than 2 to this of the sampled texts (less one) count as equally rare: else grams that an edit made, which nobody shares, would go first.
-RARE = 5
+#: Groups of characters that are counted around a seed, and the size from which on the counts aren't used.
+GROUPS, COUNTED = 32, 1 << 16
+#: Pairs with more seeds than this (repetitive texts) are aligned without a chain's bound.
+CHAINED = 64
 TRAIN, EVAL = 1, 2
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -86,7 +88,7 @@ def _sliding(values: np.ndarray, width: int, join) -> np.ndarray:
     return out
 
 
-def gram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every run of ``k`` code points, built from runs of powers of two."""
     with np.errstate(over="ignore"):
         have, run = 1, (codes.astype(np.uint64) + np.uint64(1)) * _M1
@@ -108,109 +110,98 @@ def gram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64) % SLOTS
-
-
-def gram_levels(rows: DataFrame) -> np.ndarray | None:
-    """How common the grams of each slot are in a sample of the distinct texts of ``rows`` (logarithm of the number of texts, 0 for rare ones); null without texts.
-
-    The sample is chosen by the texts' hashes, so that equal rows give equal levels.
-    """
-    hashed = rows.select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    every = max(1, (hashed.agg(F.approx_count_distinct("h")).first()[0] or 0) // SAMPLE)
-    sample = hashed.filter(F.pmod("h", F.lit(every)) == 0).groupBy("h").agg(F.min("text").alias("text")).select("text").toPandas()["text"]
-    n = np.zeros(SLOTS, np.int64)
-    for text in sample:
-        if len(text) >= K:
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-            np.add.at(n, np.unique(_slot(gram_hashes(codes))), 1)
-    return np.clip(np.log2(n + 1).astype(np.int64) - RARE + 1, 0, 31).astype(np.uint8) if len(sample) else None
-
-
-def winnow(texts: list[str], width: int, k: int = K, telling: int = TELLING, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, hash) of the selected grams of texts of at least k + width - 1 characters; ``levels`` (rare first) goes before ``telling``."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+def winnow(codes: np.ndarray, size: np.ndarray, k: int, width: int, telling: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the selected grams of texts laid end to end; texts under k + width - 1 characters give none."""
     end = np.cumsum(size)
-    row = np.repeat(np.arange(len(texts)), size)
+    row = np.repeat(np.arange(len(size)), size)
+    if len(codes) < k + width - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = gram_hashes(codes, k)
     digits = np.r_[0, np.cumsum((codes >= 48) & (codes <= 57))]
     few = (digits[k:] - digits[:-k]) < telling
     at = np.arange(len(hashes), dtype=np.uint64)
     low = np.uint64(0xFFFF)
-    order = (hashes >> np.uint64(1)) | (few.astype(np.uint64) << np.uint64(63))
-    if levels is not None:
-        order = (order >> np.uint64(5)) | (levels[_slot(hashes)].astype(np.uint64) << np.uint64(59))
-    order = order & ~low | (at & low)
+    order = ((hashes >> np.uint64(1)) | (few.astype(np.uint64) << np.uint64(63))) & ~low | (at & low)
     least = _sliding(order, width, np.minimum)
     at = np.arange(len(least))
     whole = at + k + width - 1 <= end[row[: len(least)]]
     least, at = least[whole], at[whole]
     place = np.unique(at + ((least.astype(np.int64) - at) & 0xFFFF))
-    owner = row[place]
-    return owner, place - (end - size)[owner], hashes[place].view(np.int64)
+    return place, hashes[place].view(np.int64)
+
+
+def level_of(size: np.ndarray) -> np.ndarray:
+    """The level of texts of these sizes."""
+    return np.searchsorted([x[0] for x in LEVELS], size, "right") - 1
 
 
-def window_of(size: np.ndarray) -> np.ndarray:
-    return np.clip(size // 10 // 4 * 4, 4, WINDOW)
+def window_of(level: int, size: np.ndarray) -> np.ndarray:
+    return LEVELS[level][2] + (np.minimum(size // PER_EDIT, GROWTH) if level == len(LEVELS) - 1 else np.zeros_like(size))
 
 
-def _segments(size: int, parts: int) -> list[tuple[int, int]]:
-    cut = [size * i // parts for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:])]
+def stretch(size: Column) -> Column:
+    """Clean characters in a row that are enough to be found, for pairs whose longer text has this size."""
+    out = F.lit(LEVELS[-1][1] + LEVELS[-1][2] - 1) + F.least(F.floor(size / F.lit(PER_EDIT)), F.lit(GROWTH))
+    for (_, k, w, _), above in reversed(list(zip(LEVELS, LEVELS[1:]))):
+        out = F.when(size < above[0], F.lit(k + w - 1)).otherwise(out)
+    return out.cast("int")
 
 
-def segment_keys(text: str) -> set[str]:
-    """Keys under which a short text is found."""
-    n = len(text)
-    return {
-        f"{n} {d} {i} {text[p : p + m]}"
-        for d in range(max(1, n // PER_EDIT), n // (PER_EDIT - 1) + 1)
-        for i, (p, m) in enumerate(_segments(n, d + 1))
-    }
+def group_counts(codes: np.ndarray, from_: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each span, how often the characters of each group occur in it, modulo 16: two words of sixteen counts of four bits."""
+    group = codes % np.uint32(GROUPS)
+    words = []
+    for word in range(2):
+        packed = np.zeros(len(from_), np.uint64)
+        for part in range(4):
+            # Four groups a sum, 16 bits each; a difference of two sums is exact for spans under COUNTED.
+            one = np.zeros(GROUPS, np.uint64)
+            for lane in range(4):
+                one[word * 16 + part * 4 + lane] = np.uint64(1) << np.uint64(16 * lane)
+            with np.errstate(over="ignore"):
+                total = np.r_[np.uint64(0), np.cumsum(one[group])]
+                n = (total[to] - total[from_]) & np.uint64(0x000F000F000F000F)
+            four = (n | (n >> np.uint64(12)) | (n >> np.uint64(24)) | (n >> np.uint64(36))) & np.uint64(0xFFFF)
+            packed |= four << np.uint64(16 * part)
+        words.append(packed.view(np.int64))
+    return words[0], words[1]
 
 
-def probe_keys(text: str) -> set[str]:
-    """Keys under which a short text looks for texts within the allowed edits."""
-    n, keys = len(text), set()
-    for other in range(n - n // PER_EDIT, n + n // (PER_EDIT - 1) + 1):
-        d = max(n, other) // PER_EDIT
-        if d and abs(n - other) <= d:
-            for i, (p, m) in enumerate(_segments(other, d + 1)):
-                keys |= {f"{other} {d} {i} {text[q : q + m]}" for q in range(max(0, p - d), min(n - m, p + d) + 1)}
-    return keys
+MARKS = "key bigint not null, cls bigint not null, size int not null, place int not null, b1 bigint not null, b2 bigint not null, a1 bigint not null, a2 bigint not null"
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], levels: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _levels(size: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(level, text numbers): an evaluation text gives its own level, a train text all those of possible partners."""
+    own = level_of(size)
+    least, most = (own, own) if side == EVAL else (level_of(-(-size * (PER_EDIT - 1) // PER_EDIT)), level_of(size * PER_EDIT // (PER_EDIT - 1)))
+    for level in range(len(LEVELS)):
+        rows = np.flatnonzero((least <= level) & (level <= most))
+        if len(rows):
+            yield level, rows
 
-    def batch(cls, sides, size, place, key) -> pa.RecordBatch:
-        arrays = [pa.array(x, t) for x, t in ((cls, pa.int64()), (sides, pa.int32()), (size, pa.int32()), (place, pa.int32()), (key, pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["cls", "sides", "size", "place", "key"])
 
+def _fingerprints(batches: Iterator[pa.RecordBatch], side: int, gram: int | None, window: int | None) -> Iterator[pa.RecordBatch]:
+    names = ["key", "cls", "size", "place", "b1", "b2", "a1", "a2"]
     for b in batches:
-        cls, sides = b.column("cls").to_numpy(), b.column("sides").to_numpy()
-        texts = b.column("text").to_pylist()
+        cls, texts = b.column("cls").to_numpy(), b.column("text").to_pylist()
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        long = size >= LONG_MIN
-        tiers = [(K, TELLING, levels, np.where(long, window_of(size), 0)), (MID_K, 0, None, np.where(long & (size <= MID_MAX), MID_WINDOW, 0))]
-        for k, telling, common, width in tiers:
-            for w in np.unique(width[width > 0]):
-                rows = np.flatnonzero(width == w)
+        for level, chosen in [(None, np.arange(len(texts)))] if gram else _levels(size, side):
+            k, telling = (gram, 0) if gram else (LEVELS[level][1], LEVELS[level][3])
+            width = np.full(len(chosen), window) if gram else window_of(level, size[chosen])
+            for w in np.unique(width):
+                rows = chosen[width == w]
                 total = np.cumsum(size[rows])
                 for part in np.split(rows, np.searchsorted(total, np.arange(2_000_000, total[-1], 2_000_000))):
-                    if len(part):
-                        owner, place, key = winnow([texts[i] for i in part], int(w), k, telling, common)
-                        own = part[owner]
-                        yield batch(cls[own], sides[own], size[own], place, key)
-        out = []
-        for i in np.flatnonzero(size <= SHORT_MAX):
-            for side, keys in ((TRAIN, segment_keys), (EVAL, probe_keys)):
-                if sides[i] & side:
-                    out += [(cls[i], side, size[i], 0, xxhash.xxh64_intdigest(x) - 2**63) for x in keys(texts[i])]
-        if out:
-            yield batch(*zip(*out))
+                    if not len(part):
+                        continue
+                    codes = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32)
+                    place, key = winnow(codes, size[part], k, int(w), telling)
+                    end = np.cumsum(size[part])
+                    owner = np.searchsorted(end, place, "right")
+                    own, start = part[owner], (end - size[part])[owner]
+                    counts = [*group_counts(codes, start, place), *group_counts(codes, place, end[owner])]
+                    columns = [key, cls[own], size[own].astype(np.int32), (place - start).astype(np.int32), *counts]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 def allowed(a: Column, b: Column) -> Column:
@@ -218,74 +209,153 @@ def allowed(a: Column, b: Column) -> Column:
     return F.floor(F.greatest(a, b) / F.lit(PER_EDIT)).cast("int")
 
 
-def chain_length(seeds: Column) -> Column:
-    """Seeds, sorted by their place in the one text, that a greedy collinear chain takes."""
-    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"))
-    step = lambda c, s: F.when(s["b"] > c["at"], F.struct(s["b"].alias("at"), (c["n"] + 1).alias("n"))).otherwise(c)
-    return F.aggregate(seeds, start, step)["n"]
+def counts_apart(pairs: list[tuple[Column, Column]]) -> Column:
+    """Sum of the differences of packed counts (each modulo 16, the shorter way round): at most two for an edit."""
+    nibbles, ones = F.lit(0x0F0F0F0F0F0F0F0F), F.lit(0x0101010101010101)
+    total = None
+    for a, b in pairs:
+        for half in (0, 4):
+            x, y = ((F.shiftrightunsigned(c, half) if half else c).bitwiseAND(nibbles) for c in (a, b))
+            d = (x.bitwiseOR(F.lit(0x1010101010101010)) - y).bitwiseAND(nibbles)
+            over = F.shiftrightunsigned(d, 3).bitwiseAND(ones)
+            short = d.bitwiseXOR(over * 15) + over  # 16 - d where d is 8 or more
+            total = short if total is None else total + short
+    bytes_ = F.lit(0x00FF00FF00FF00FF)
+    return (total.bitwiseAND(bytes_) + F.shiftrightunsigned(total, 8).bitwiseAND(bytes_)) % 65535
 
 
-def class_pairs(distinct: DataFrame, levels: np.ndarray | None = None) -> DataFrame:
+def chain(seeds: Column, size_e: Column, size_t: Column, window: Column) -> Column:
+    """The cheapest collinear chain: struct(cost, first, last, n), where cost is a number of edits that the chain implies at least.
+
+    Between neighbours of a chain lie at least as many edits as the diagonal
+    moves, and one in each whole window without a shared gram.  ``seeds`` are
+    sorted structs (a, b) of places in the two texts.
+    """
+    shift = lambda a, b: F.abs((b["b"] - b["a"]) - (a["b"] - a["a"]))
+    gap = lambda a, b: F.greatest(shift(a, b), F.floor((b["a"] - a["a"]) / window).cast("int"))
+    state = lambda cost, first, last, n: F.struct(cost.alias("cost"), first.alias("first"), last.alias("last"), n.alias("n"))
+    before = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))
+    after = F.struct(size_e.alias("a"), size_t.alias("b"))
+
+    def step(states: Column, s: Column) -> Column:
+        fits = F.filter(states, lambda c: (c["last"]["a"] < s["a"]) & (c["last"]["b"] < s["b"]))
+        longer = F.transform(fits, lambda c: state(c["cost"] + gap(c["last"], s), c["first"], s, c["n"] - 1))
+        alone = state(gap(before, s), s, s, F.lit(-1))
+        return F.concat(states, F.array(F.array_min(F.concat(longer, F.array(alone)))))
+
+    kind = "array<struct<cost:int,first:struct<a:int,b:int>,last:struct<a:int,b:int>,n:int>>"
+    states = F.aggregate(seeds, F.array().cast(kind), step)
+    closed = F.transform(states, lambda c: state(c["cost"] + gap(c["last"], after), c["first"], c["last"], c["n"]))
+    return F.array_min(F.transform(closed, lambda c: F.struct(c["cost"], c["n"], c["first"], c["last"])))
+
+
+def class_pairs(distinct: DataFrame, gram: int | None = None, window: int | None = None) -> DataFrame:
     """(cls_e, text_e, cls_t, text_t, distance, seeds): different texts, one of an evaluation split and one of train, within the allowed edits."""
-    marks = distinct.mapInArrow(lambda batches: _fingerprints(batches, levels), "cls bigint, sides int, size int, place int, key bigint")
-    side = lambda bit, x: marks.filter(F.col("sides").bitwiseAND(bit) > 0).select(
-        "key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "size", "place"))
-    )
-    e, t = side(EVAL, "e"), side(TRAIN, "t")
-    most = allowed(F.col("size_e"), F.col("size_t"))
-    near = (F.abs(F.col("size_e") - F.col("size_t")) <= most) & (F.abs(F.col("place_e") - F.col("place_t")) <= most)
-    seeds = e.join(t, "key").filter((F.col("cls_e") != F.col("cls_t")) & near)
-    chained = seeds.groupBy("cls_e", "cls_t").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("place_e").alias("a"), F.col("place_t").alias("b")))).alias("seeds")
+
+    def marks(bit: int, x: str) -> DataFrame:
+        some = distinct.filter(F.col("sides").bitwiseAND(bit) > 0).select("cls", "text")
+        made = map_batches(some, lambda batches: _fingerprints(batches, bit, gram, window), MARKS)
+        return made.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "size", "place", "b1", "b2", "a1", "a2")))
+
+    c = F.col
+    most = allowed(c("size_e"), c("size_t"))
+    left, right = F.abs(c("place_e") - c("place_t")), F.abs((c("size_e") - c("place_e")) - (c("size_t") - c("place_t")))
+    apart = counts_apart([(c(f"{x}_e"), c(f"{x}_t")) for x in ("b1", "b2", "a1", "a2")])
+    near = (c("cls_e") != c("cls_t")) & (left + right <= most)
+    near = near & ((F.greatest("size_e", "size_t") >= COUNTED) | (apart <= 2 * most - left - right))
+    seeds = marks(EVAL, "e").join(marks(TRAIN, "t"), "key").filter(near)
+    grouped = seeds.groupBy("cls_e", "cls_t", "size_e", "size_t").agg(F.array_sort(F.collect_set(F.struct(c("place_e").alias("a"), c("place_t").alias("b")))).alias("seeds"))
+    longest = F.greatest("size_e", "size_t")
+    clean = F.lit(gram + window - 1) if gram else stretch(longest)
+    n = F.size("seeds")
+    loose = F.struct(F.lit(0).alias("cost"), (-n).alias("n"), F.get("seeds", F.lit(0)).alias("first"), F.get("seeds", F.lit(0)).alias("last"))
+    chained = grouped.withColumn("clean", clean).withColumn(
+        "chain", F.when(n <= CHAINED, chain(c("seeds"), c("size_e"), c("size_t"), c("clean"))).otherwise(loose)
     )
-    pairs = chained.select("cls_e", "cls_t", chain_length(F.col("seeds")).alias("seeds")).filter("seeds > 0")
+    pairs = chained.filter(c("chain")["cost"] <= most).select("cls_e", "cls_t", (-c("chain")["n"]).alias("seeds"), c("chain")["first"].alias("first"), c("chain")["last"].alias("last"))
     texts = lambda bit, x: distinct.filter(F.col("sides").bitwiseAND(bit) > 0).select(
         F.col("cls").alias(f"cls_{x}"), F.col("text").alias(f"text_{x}")
     )
     both = pairs.join(texts(EVAL, "e"), "cls_e").join(texts(TRAIN, "t"), "cls_t")
-    limit = allowed(F.length("text_e"), F.length("text_t"))
-    distance = F.expr("levenshtein(text_e, text_t, _limit)")
-    aligned = both.withColumn("_limit", limit).withColumn("distance", distance).drop("_limit")
-    return aligned.filter(F.col("distance") >= 0)
+    return align(both).filter(F.col("distance") >= 0)
 
 
-def overlaps(labels: DataFrame) -> DataFrame:
-    """(label_id_e, label_id_t, distance, size): every row of an evaluation split with every train row it overlaps."""
-    rows = members(labels)
-    tag = lambda text: F.xxhash64(F.lit(1), text)  # a second hash, that tells texts of one first hash apart
-    found = class_pairs(classes(rows), gram_levels(rows)).select(
-        "cls_e", tag(F.col("text_e")).alias("tag_e"), "cls_t", tag(F.col("text_t")).alias("tag_t"), "distance",
-        F.greatest(F.length("text_e"), F.length("text_t")).alias("size"),
-    )
-    own = rows.select("label_id", "side", F.xxhash64("text").alias("cls"), tag(F.col("text")).alias("tag"), F.length("text").alias("size"))
-    pick = lambda bit, x, *more: own.filter(F.col("side") == bit).select(
-        F.col("label_id").alias(f"label_id_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("tag").alias(f"tag_{x}"), *more
+def align(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (text_e, text_t, first, last) with ``distance``: the edits, -1 beyond the allowed number.
+
+    Extension from the chain: before its first seed, between its ends, and after
+    its last.  If these stay within the limit, their sum is the band in which the
+    distance is then worked out; if not, the limit is.
+    """
+    both = pairs.withColumn("_most", allowed(F.length("text_e"), F.length("text_t")))
+    both = both.withColumn("_left", F.expr("levenshtein(left(text_e, first.a), left(text_t, first.b), _most)"))
+    inside = "levenshtein(substring(text_e, first.a + 1, last.a - first.a), substring(text_t, first.b + 1, last.b - first.b), _most - _left)"
+    both = both.withColumn("_inside", F.when(F.col("_left") >= 0, F.expr(inside)).otherwise(-1))
+    after = "levenshtein(substring(text_e, last.a + 1), substring(text_t, last.b + 1), _most - _left - _inside)"
+    both = both.withColumn("_right", F.when(F.col("_inside") >= 0, F.expr(after)).otherwise(-1))
+    both = both.withColumn("_band", F.when(F.col("_right") >= 0, F.col("_left") + F.col("_inside") + F.col("_right")).otherwise(F.col("_most")))
+    return both.withColumn("distance", F.expr("levenshtein(text_e, text_t, _band)")).drop("_most", "_left", "_inside", "_right", "_band")
+
+
+def _tag(text: Column) -> Column:
+    """A second hash, that tells texts of one first hash apart."""
+    return F.xxhash64(F.lit(1), text)
+
+
+def _class_links(rows: DataFrame, gram: int | None, window: int | None) -> DataFrame:
+    """(cls_e, tag_e, cls_t, tag_t, distance, size): the near pairs of different texts."""
+    size = F.greatest(F.length("text_e"), F.length("text_t")).alias("size")
+    return class_pairs(classes(rows), gram, window).select(
+        "cls_e", _tag(F.col("text_e")).alias("tag_e"), "cls_t", _tag(F.col("text_t")).alias("tag_t"), "distance", size
     )
-    near = found.join(pick(EVAL, "e"), ["cls_e", "tag_e"]).join(pick(TRAIN, "t"), ["cls_t", "tag_t"])
-    same = pick(EVAL, "e", "size").withColumnsRenamed({"cls_e": "cls", "tag_e": "tag"})
-    same = same.join(pick(TRAIN, "t").withColumnsRenamed({"cls_t": "cls", "tag_t": "tag"}), ["cls", "tag"])
-    columns = ["label_id_e", "label_id_t", "distance", "size"]
-    out = near.select(*columns).unionByName(same.withColumn("distance", F.lit(0)).select(*columns))
-    return out.filter(F.col("label_id_e") != F.col("label_id_t"))
 
 
-def overlap_pairs(labels: DataFrame) -> DataFrame:
+def _own(rows: DataFrame, bit: int, x: str) -> DataFrame:
+    """(label_id_x, cls_x, tag_x) of one side, once each."""
+    own = rows.filter(F.col("side") == bit).select(
+        F.col("label_id").alias(f"label_id_{x}"), F.xxhash64("text").alias(f"cls_{x}"), _tag(F.col("text")).alias(f"tag_{x}")
+    )
+    return own.distinct()
+
+
+def overlap_pairs(labels: DataFrame, gram: int | None = None, window: int | None = None) -> DataFrame:
     """(label_id_a, label_id_b): the overlapping pairs, smaller id first, once each."""
+    rows = members(labels)
+    e, t = _own(rows, EVAL, "e"), _own(rows, TRAIN, "t")
+    near = _class_links(rows, gram, window).join(e, ["cls_e", "tag_e"]).join(t, ["cls_t", "tag_t"]).select("label_id_e", "label_id_t")
+    same = e.join(t, (F.col("cls_e") == F.col("cls_t")) & (F.col("tag_e") == F.col("tag_t"))).select("label_id_e", "label_id_t")
     a, b = F.col("label_id_e"), F.col("label_id_t")
-    return overlaps(labels).select(F.least(a, b).alias("label_id_a"), F.greatest(a, b).alias("label_id_b")).distinct()
+    return near.unionByName(same).filter(a != b).select(F.least(a, b).alias("label_id_a"), F.greatest(a, b).alias("label_id_b")).distinct()
+
 
+def overlap_coverage(labels: DataFrame, gram: int | None = None, window: int | None = None) -> DataFrame:
+    """A row an evaluation record: label_id, split, source, n_train (train rows it overlaps), coverage (best share of unchanged characters, 0 to 1).
 
-def overlap_coverage(labels: DataFrame) -> DataFrame:
-    """A row an evaluation record: label_id, split, source, n_train (train rows it overlaps), coverage (best share of unchanged characters, 0 to 1)."""
+    Train rows are counted once a class and added up over the classes that a
+    text links to; the pairs of rows are never laid out.
+    """
     split = split_of(F.col("split"), F.col("file_path"))
     source = source_of(F.col("source"), F.col("file_path"))
-    rows = labels.select("label_id", split.alias("split"), source.alias("source")).filter(F.col("label_id").isNotNull())
-    rows = rows.filter(F.col("split").isin("valid", "test")).groupBy("label_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
-    per = overlaps(labels).groupBy(F.col("label_id_e").alias("label_id")).agg(
-        F.count_distinct("label_id_t").alias("n_train"), F.max(1 - F.col("distance") / F.col("size")).alias("coverage")
-    )
-    filled = rows.join(per, "label_id", "left")
-    return filled.select("label_id", "split", "source", F.coalesce("n_train", F.lit(0)).alias("n_train"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    known = labels.select("label_id", split.alias("split"), source.alias("source")).filter(F.col("label_id").isNotNull())
+    known = known.filter(F.col("split").isin("valid", "test")).groupBy("label_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
+    rows = members(labels)
+    e, t = _own(rows, EVAL, "e"), _own(rows, TRAIN, "t")
+    held = t.groupBy("cls_t", "tag_t").agg(F.count("*").alias("n"))
+    share = 1 - F.col("distance") / F.col("size")
+    near = _class_links(rows, gram, window).join(held, ["cls_t", "tag_t"]).select("cls_e", "tag_e", "cls_t", "tag_t", "n", share.alias("share"))
+    same = held.select(
+        F.col("cls_t").alias("cls_e"), F.col("tag_t").alias("tag_e"), "cls_t", "tag_t", "n", F.lit(1.0).alias("share")
+    ).join(e.select("cls_e", "tag_e").distinct(), ["cls_e", "tag_e"], "left_semi")
+    links = near.unionByName(same)
+    per = links.groupBy("cls_e", "tag_e").agg(F.sum("n").alias("n"), F.max("share").alias("share"))
+    # Ids delivered on both sides (a fault of the data) don't overlap themselves.
+    twice = e.join(t, F.col("label_id_e") == F.col("label_id_t")).drop("label_id_t")
+    selfs = twice.join(links.select("cls_e", "tag_e", "cls_t", "tag_t"), ["cls_e", "tag_e", "cls_t", "tag_t"]).groupBy("label_id_e").agg(F.count("*").alias("own"))
+    counted = e.join(per, ["cls_e", "tag_e"]).groupBy("label_id_e").agg(F.sum("n").alias("n"), F.max("share").alias("share"))
+    counted = counted.join(selfs, "label_id_e", "left").withColumn("n_train", F.col("n") - F.coalesce("own", F.lit(0)))
+    counted = counted.filter("n_train > 0").select(F.col("label_id_e").alias("label_id"), "n_train", "share")
+    filled = known.join(counted, "label_id", "left")
+    return filled.select("label_id", "split", "source", F.coalesce("n_train", F.lit(0)).alias("n_train"), F.coalesce("share", F.lit(0.0)).alias("coverage"))
 
 
 def overlap_report(labels: DataFrame) -> DataFrame:
