@@ -209,19 +209,23 @@ def allowed(a: Column, b: Column) -> Column:
     return F.floor(F.greatest(a, b) / F.lit(PER_EDIT)).cast("int")
 
 
-def counts_apart(pairs: list[tuple[Column, Column]]) -> Column:
-    """Sum of the differences of packed counts (each modulo 16, the shorter way round): at most two for an edit."""
+def counts_apart(seeds: DataFrame, keep: list[str]) -> tuple[DataFrame, Column]:
+    """``seeds`` with their packed counts compared, and the sum of the differences (each modulo 16, the shorter way round): at most two for an edit."""
     nibbles, ones = F.lit(0x0F0F0F0F0F0F0F0F), F.lit(0x0101010101010101)
-    total = None
-    for a, b in pairs:
+    parts = []
+    for name in ("b1", "b2", "a1", "a2"):
         for half in (0, 4):
-            x, y = ((F.shiftrightunsigned(c, half) if half else c).bitwiseAND(nibbles) for c in (a, b))
-            d = (x.bitwiseOR(F.lit(0x1010101010101010)) - y).bitwiseAND(nibbles)
-            over = F.shiftrightunsigned(d, 3).bitwiseAND(ones)
-            short = d.bitwiseXOR(over * 15) + over  # 16 - d where d is 8 or more
-            total = short if total is None else total + short
+            x, y = ((F.shiftrightunsigned(c, half) if half else c).bitwiseAND(nibbles) for c in (F.col(f"{name}_e"), F.col(f"{name}_t")))
+            parts.append((x.bitwiseOR(F.lit(0x1010101010101010)) - y).bitwiseAND(nibbles).alias(f"d{len(parts)}"))
+    # A generator keeps all this out of the join's inner loop, which the JVM would else not compile.
+    compared = seeds.select(*keep, F.inline(F.array(F.struct(*parts))))
+    total = F.lit(0)
+    for i in range(len(parts)):
+        d = F.col(f"d{i}")
+        over = F.shiftrightunsigned(d, 3).bitwiseAND(ones)
+        total = total + d.bitwiseXOR(over * 15) + over  # 16 - d where d is 8 or more
     bytes_ = F.lit(0x00FF00FF00FF00FF)
-    return (total.bitwiseAND(bytes_) + F.shiftrightunsigned(total, 8).bitwiseAND(bytes_)) % 65535
+    return compared, (total.bitwiseAND(bytes_) + F.shiftrightunsigned(total, 8).bitwiseAND(bytes_)) % 65535
 
 
 def chain(seeds: Column, size_e: Column, size_t: Column, window: Column) -> Column:
@@ -260,19 +264,18 @@ def class_pairs(distinct: DataFrame, gram: int | None = None, window: int | None
     c = F.col
     most = allowed(c("size_e"), c("size_t"))
     left, right = F.abs(c("place_e") - c("place_t")), F.abs((c("size_e") - c("place_e")) - (c("size_t") - c("place_t")))
-    apart = counts_apart([(c(f"{x}_e"), c(f"{x}_t")) for x in ("b1", "b2", "a1", "a2")])
-    near = (c("cls_e") != c("cls_t")) & (left + right <= most)
-    near = near & ((F.greatest("size_e", "size_t") >= COUNTED) | (apart <= 2 * most - left - right))
-    seeds = marks(EVAL, "e").join(marks(TRAIN, "t"), "key").filter(near)
+    seeds = marks(EVAL, "e").join(marks(TRAIN, "t"), "key").filter((c("cls_e") != c("cls_t")) & (left + right <= most))
+    compared, apart = counts_apart(seeds, ["cls_e", "cls_t", "size_e", "size_t", "place_e", "place_t"])
+    seeds = compared.filter((F.greatest("size_e", "size_t") >= COUNTED) | (apart <= 2 * most - left - right))
     grouped = seeds.groupBy("cls_e", "cls_t", "size_e", "size_t").agg(F.array_sort(F.collect_set(F.struct(c("place_e").alias("a"), c("place_t").alias("b")))).alias("seeds"))
     longest = F.greatest("size_e", "size_t")
     clean = F.lit(gram + window - 1) if gram else stretch(longest)
     n = F.size("seeds")
     loose = F.struct(F.lit(0).alias("cost"), (-n).alias("n"), F.get("seeds", F.lit(0)).alias("first"), F.get("seeds", F.lit(0)).alias("last"))
-    chained = grouped.withColumn("clean", clean).withColumn(
-        "chain", F.when(n <= CHAINED, chain(c("seeds"), c("size_e"), c("size_t"), c("clean"))).otherwise(loose)
-    )
-    pairs = chained.filter(c("chain")["cost"] <= most).select("cls_e", "cls_t", (-c("chain")["n"]).alias("seeds"), c("chain")["first"].alias("first"), c("chain")["last"].alias("last"))
+    best = F.when(n <= CHAINED, chain(c("seeds"), c("size_e"), c("size_t"), clean)).otherwise(loose)
+    # A generator works the chain out once; a plain column would be repeated in the filter and in each field.
+    chained = grouped.select("cls_e", "cls_t", most.alias("most"), F.inline(F.array(best)))
+    pairs = chained.filter(c("cost") <= c("most")).select("cls_e", "cls_t", (-c("n")).alias("seeds"), "first", "last")
     texts = lambda bit, x: distinct.filter(F.col("sides").bitwiseAND(bit) > 0).select(
         F.col("cls").alias(f"cls_{x}"), F.col("text").alias(f"text_{x}")
     )
