@@ -306,29 +306,29 @@ def _tag(text: Column) -> Column:
 
 
 def _class_links(rows: DataFrame, gram: int | None, window: int | None) -> DataFrame:
-    """(cls_e, tag_e, cls_t, tag_t, distance, size): the near pairs of different texts."""
-    size = F.greatest(F.length("text_e"), F.length("text_t")).alias("size")
-    return class_pairs(classes(rows), gram, window).select(
-        "cls_e", _tag(F.col("text_e")).alias("tag_e"), "cls_t", _tag(F.col("text_t")).alias("tag_t"), "distance", size
+    """(cls_e, tag_e, cls_t, tag_t, share): the near pairs of different texts, and each text of both sides with itself; share of unchanged characters."""
+    distinct = classes(rows)
+    share = 1 - F.col("distance") / F.greatest(F.length("text_e"), F.length("text_t"))
+    near = class_pairs(distinct, gram, window).select(
+        "cls_e", _tag(F.col("text_e")).alias("tag_e"), "cls_t", _tag(F.col("text_t")).alias("tag_t"), share.alias("share")
     )
+    both = distinct.filter(F.col("sides") == EVAL + TRAIN).select("cls", _tag(F.col("text")).alias("tag"))
+    return near.unionByName(both.select(F.col("cls").alias("cls_e"), F.col("tag").alias("tag_e"), F.col("cls").alias("cls_t"), F.col("tag").alias("tag_t"), F.lit(1.0).alias("share")))
 
 
 def _own(rows: DataFrame, bit: int, x: str) -> DataFrame:
-    """(label_id_x, cls_x, tag_x) of one side, once each."""
-    own = rows.filter(F.col("side") == bit).select(
+    """(label_id_x, cls_x, tag_x) of one side, as delivered."""
+    return rows.filter(F.col("side") == bit).select(
         F.col("label_id").alias(f"label_id_{x}"), F.xxhash64("text").alias(f"cls_{x}"), _tag(F.col("text")).alias(f"tag_{x}")
     )
-    return own.distinct()
 
 
 def overlap_pairs(labels: DataFrame, gram: int | None = None, window: int | None = None) -> DataFrame:
     """(label_id_a, label_id_b): the overlapping pairs, smaller id first, once each."""
     rows = members(labels)
-    e, t = _own(rows, EVAL, "e"), _own(rows, TRAIN, "t")
-    near = _class_links(rows, gram, window).join(e, ["cls_e", "tag_e"]).join(t, ["cls_t", "tag_t"]).select("label_id_e", "label_id_t")
-    same = e.join(t, (F.col("cls_e") == F.col("cls_t")) & (F.col("tag_e") == F.col("tag_t"))).select("label_id_e", "label_id_t")
+    pairs = _class_links(rows, gram, window).join(_own(rows, EVAL, "e"), ["cls_e", "tag_e"]).join(_own(rows, TRAIN, "t"), ["cls_t", "tag_t"])
     a, b = F.col("label_id_e"), F.col("label_id_t")
-    return near.unionByName(same).filter(a != b).select(F.least(a, b).alias("label_id_a"), F.greatest(a, b).alias("label_id_b")).distinct()
+    return pairs.filter(a != b).select(F.least(a, b).alias("label_id_a"), F.greatest(a, b).alias("label_id_b")).distinct()
 
 
 def overlap_coverage(labels: DataFrame, gram: int | None = None, window: int | None = None) -> DataFrame:
@@ -342,14 +342,9 @@ def overlap_coverage(labels: DataFrame, gram: int | None = None, window: int | N
     known = labels.select("label_id", split.alias("split"), source.alias("source")).filter(F.col("label_id").isNotNull())
     known = known.filter(F.col("split").isin("valid", "test")).groupBy("label_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
     rows = members(labels)
-    e, t = _own(rows, EVAL, "e"), _own(rows, TRAIN, "t")
+    e, t = _own(rows, EVAL, "e").distinct(), _own(rows, TRAIN, "t").distinct()
     held = t.groupBy("cls_t", "tag_t").agg(F.count("*").alias("n"))
-    share = 1 - F.col("distance") / F.col("size")
-    near = _class_links(rows, gram, window).join(held, ["cls_t", "tag_t"]).select("cls_e", "tag_e", "cls_t", "tag_t", "n", share.alias("share"))
-    same = held.select(
-        F.col("cls_t").alias("cls_e"), F.col("tag_t").alias("tag_e"), "cls_t", "tag_t", "n", F.lit(1.0).alias("share")
-    ).join(e.select("cls_e", "tag_e").distinct(), ["cls_e", "tag_e"], "left_semi")
-    links = near.unionByName(same)
+    links = _class_links(rows, gram, window).join(held, ["cls_t", "tag_t"])
     per = links.groupBy("cls_e", "tag_e").agg(F.sum("n").alias("n"), F.max("share").alias("share"))
     # Ids delivered on both sides (a fault of the data) don't overlap themselves.
     twice = e.join(t, F.col("label_id_e") == F.col("label_id_t")).drop("label_id_t")

@@ -46,13 +46,17 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).filter("n_pieces > 1").select("container", "doc_id").distinct()
+    return packing.cut_documents(_packed(spark, d))
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return language.wrong_labels(table(spark, d, "documents"), table(spark, d, "languages"))
 
@@ -66,7 +70,7 @@ def p7_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_coverage, p1_report, p3_found, p3_terms, p5_ids, p6_found, p6_containers, p7_found, p7_languages, p7_segments]
+    found = [p1_found, p1_coverage, p1_report, p3_found, p3_terms, p5_ids, p6_found, p6_containers, p6_report, p7_found, p7_languages, p7_segments]
     return {q.__name__: q for q in found}
 
 
