@@ -8,8 +8,9 @@ texts with a clean stretch of ``stretch(size)`` characters share a selected gram
 Selected grams are joined across splits; each carries how often the characters
 of 32 groups occur before and after it, which rules out most chance seeds inside
 the join: an edit changes these counts by two at most.  The seeds of a pair are
-chained collinearly, pairs whose cheapest chain implies more edits than allowed
-are dropped, and the others are aligned outwards from the ends of their chain.
+chained collinearly, pairs whose cheapest chain, or whose counts of short grams,
+imply more edits than allowed are dropped, and the others are aligned outwards
+from the ends of their chain.
 
 Lengths: the same steps serve every text.  Gram and window grow with the length
 (``LEVELS``), because a tenth of edits leaves a short text only short clean
@@ -41,6 +42,8 @@ GROWTH = 24
 PER_EDIT = 10
 #: Groups of characters that are counted around a seed, and the size from which on the counts aren't used.
 GROUPS, COUNTED = 32, 1 << 16
+#: Length of the grams that are counted in the texts of a pair, and the slots of their counts.
+COUNTED_GRAM, SLOTS = 4, 1024
 #: Pairs with more seeds than this (repetitive texts) are aligned without a chain's bound.
 CHAINED = 64
 TRAIN, EVAL = 1, 2
@@ -280,9 +283,38 @@ def class_pairs(distinct: DataFrame, gram: int | None = None, window: int | None
         F.col("cls").alias(f"cls_{x}"), F.col("text").alias(f"text_{x}")
     )
     both = pairs.join(texts(EVAL, "e"), "cls_e").join(texts(TRAIN, "t"), "cls_t")
+    names = ["cls_e", "cls_t", "seeds", "first", "last", "text_e", "text_t"]
+    kinds = "cls_e bigint, cls_t bigint, seeds int, first struct<a:int,b:int>, last struct<a:int,b:int>, text_e string, text_t string"
+    both = map_batches(both.select(*names), _near_counts, kinds)
     return align(both).filter(F.col("distance") >= 0)
 
 
+def grams_apart(texts: tuple[list[str], list[str]]) -> np.ndarray:
+    """For pairs of texts, the sum of differences of their counts of hashed runs of COUNTED_GRAM characters: at most twice that length for an edit."""
+    n, tallies = len(texts[0]), []
+    for side in texts:
+        size = np.fromiter(map(len, side), np.int64, n)
+        codes = np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32)
+        tally = np.zeros(n * SLOTS, np.int64)
+        if len(codes) >= COUNTED_GRAM:
+            slot = (gram_hashes(codes, COUNTED_GRAM) >> np.uint64(20)).astype(np.int64) % SLOTS
+            row = np.repeat(np.arange(n), size)
+            inside = np.arange(len(slot)) + COUNTED_GRAM <= np.cumsum(size)[row[: len(slot)]]
+            tally = np.bincount(row[: len(slot)][inside] * SLOTS + slot[inside], minlength=n * SLOTS)
+        tallies.append(tally.reshape(n, SLOTS))
+    return np.abs(tallies[0] - tallies[1]).sum(1)
+
+
+def _near_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose counts of short grams don't rule them out."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            e, t = b.column("text_e").to_pylist(), b.column("text_t").to_pylist()
+            most = np.array([max(len(x), len(y)) // PER_EDIT for x, y in zip(e, t)], np.int64)
+            yield b.filter(pa.array(grams_apart((e, t)) <= 2 * COUNTED_GRAM * most))
+
+
 def align(pairs: DataFrame) -> DataFrame:
     """``pairs`` (text_e, text_t, first, last) with ``distance``: the edits, -1 beyond the allowed number.
 
