@@ -3,7 +3,7 @@
 A text is cut into pieces by the tokenizer's pattern.  Every distinct piece of a
 task is encoded once: pieces are put into buckets by byte length, a bucket is a
 padded matrix of token ids, and in each round every row merges its leftmost pair
-of lowest rank.  Ranks of pairs come from an open-addressing hash table in numpy;
+of lowest rank, and further places of that same pair.  Ranks of pairs come from an open-addressing hash table in numpy;
 rows that have no mergeable pair left leave the matrix (compaction).
 
 Defined results: an empty text and a null text both give an empty list of ids.
@@ -21,12 +21,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retort.session import map_batches
+
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the splitting pattern that belongs to the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int32(2**31 - 1)
-#: Pieces longer than this merge all places of their lowest pair in one round.
-LONG = 64
 #: Distinct pieces a Python worker remembers before it starts afresh.
 REMEMBERED = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,79 +88,70 @@ class PairTable:
         return flat.reshape(left.shape)
 
 
+def _lowest_places(rank: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the places where a row's lowest pair is merged: the leftmost, and all others that don't overlap one before them."""
+    hit = rank == best[:, None]
+    if (hit[:, 1:] & hit[:, :-1]).any():
+        column = np.arange(hit.shape[1])
+        before = np.maximum.accumulate(np.where(hit, -1, column), axis=1)
+        hit &= (column - before) % 2 == 1
+    return np.nonzero(hit)
+
+
 def _merge_bucket(ids: np.ndarray, size: np.ndarray, table: PairTable, out: list, rows: np.ndarray) -> None:
-    """Encode the rows of one padded matrix; ``out[row]`` gets the ids."""
-    rank = table.ranks(ids[:, :-1], ids[:, 1:])
+    """Encode the rows of one padded matrix; ``out[row]`` gets the ids.
+
+    A round merges each row's lowest pair, from the leftmost place on.  What a
+    merge makes has pairs of higher ranks only, so that taking the same pair's
+    further places in the same round gives what one place a round gives.
+    """
+    rank = np.full(ids.shape, NONE, np.int32)
+    rank[:, :-1] = table.ranks(ids[:, :-1], ids[:, 1:])
     while len(ids):
-        at = rank.argmin(axis=1)
-        line = np.arange(len(ids))
-        best = rank[line, at]
+        best = rank.min(axis=1)
         done = best == NONE
         if done.any():
             for r, row, n in zip(rows[done], ids[done], size[done]):
                 out[r] = row[:n].copy()
             keep = ~done
-            width = max(2, int(size[keep].max())) if keep.any() else 2
-            ids, size, rows, rank = ids[keep, :width], size[keep], rows[keep], rank[keep, : width - 1]
-            at, best, line = at[keep], best[keep], np.arange(len(ids))
-            if not len(ids):
+            if not keep.any():
                 return
-        ids[line, at] = best
-        cols = np.arange(ids.shape[1] - 1)
-        moved = cols[None, :] > at[:, None]
-        ids[:, :-1] = np.where(moved, ids[:, 1:], ids[:, :-1])
-        ids[:, -1] = -1
-        rank[:, :-1] = np.where(moved[:, :-1], rank[:, 1:], rank[:, :-1])
-        rank[:, -1] = NONE
-        size = size - 1
-        before, inside = np.maximum(at - 1, 0), at + 1 < ids.shape[1]
-        after = np.where(inside, ids[line, np.minimum(at + 1, ids.shape[1] - 1)], -1)
-        own = np.minimum(at, rank.shape[1] - 1)
-        rank[line, own] = np.where(inside, table.ranks(best, after), rank[line, own])
-        rank[line, before] = np.where(at > 0, table.ranks(ids[line, before], best), rank[line, before])
-
-
-def _merge_long(ids: np.ndarray, table: PairTable) -> np.ndarray:
-    """One long piece: each round merges every place of the lowest pair, left to right.
-
-    Merges made in a round have higher ranks than the round's, so this gives
-    what merging the leftmost place again and again gives, in fewer rounds.
-    """
-    while len(ids) > 1:
-        rank = table.ranks(ids[:-1], ids[1:])
-        low = rank.min()
-        if low == NONE:
-            break
-        places = np.flatnonzero(rank == low)
-        run = np.r_[0, np.cumsum(np.diff(places) != 1)]
-        start = np.r_[0, np.flatnonzero(np.diff(places) != 1) + 1]
-        places = places[(np.arange(len(places)) - start[run]) % 2 == 0]
-        ids[places] = low
-        keep = np.ones(len(ids), bool)
-        keep[places + 1] = False
-        ids = ids[keep]
-    return ids
+            width = int(size[keep].max()) + 1
+            ids, size, rows, rank, best = ids[keep, :width], size[keep], rows[keep], rank[keep, :width], best[keep]
+        line, at = _lowest_places(rank, best)
+        merged = np.bincount(line, minlength=len(ids))
+        ids[line, at] = best[line]
+        kept = np.ones(ids.shape, bool)
+        kept[line, at + 1] = False
+        place = np.arange(ids.shape[1])[None, :] < (ids.shape[1] - merged)[:, None]
+        shrunk, ranks = np.full(ids.shape, -1, np.int32), np.full(ids.shape, NONE, np.int32)
+        shrunk[place], ranks[place] = ids[kept], rank[kept]
+        ids, rank, size = shrunk, ranks, size - merged
+        first = np.cumsum(merged) - merged
+        at = at - (np.arange(len(line)) - first[line])
+        rank[line, at] = table.ranks(ids[line, at], ids[line, at + 1])
+        after = at > 0
+        line, at = line[after], at[after] - 1
+        rank[line, at] = table.ranks(ids[line, at], ids[line, at + 1])
 
 
 def encode_pieces(pieces: list[bytes], table: PairTable) -> list[np.ndarray]:
-    """Token ids of each piece."""
+    """Token ids of each piece; buckets grow by half in length."""
     out: list = [np.zeros(0, np.int32)] * len(pieces)
     size = np.fromiter(map(len, pieces), np.int64, len(pieces))
     for i in np.flatnonzero(size == 1):
         out[i] = table.byte_ids[list(pieces[i])]
-    low = 1
-    while low < LONG:
+    low, longest = 1, int(size.max()) if len(size) else 0
+    while low < longest:
         high = max(low + 1, low * 3 // 2)
-        rows = np.flatnonzero((size > low) & (size <= min(high, LONG)))
-        for part in np.array_split(rows, max(1, len(rows) * high // 2_000_000 + 1)) if len(rows) else []:
-            n, width = size[part], min(high, LONG)
-            flat = table.byte_ids[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]
-            ids = np.full((len(part), width), -1, np.int32)
-            ids[np.arange(width)[None, :] < n[:, None]] = flat
+        rows = np.flatnonzero((size > low) & (size <= high))
+        for part in np.array_split(rows, len(rows) * high // 2_000_000 + 1) if len(rows) else []:
+            n = size[part]
+            # One column more than the longest row, so that every pair has a right side.
+            ids = np.full((len(part), int(n.max()) + 1), -1, np.int32)
+            ids[np.arange(ids.shape[1])[None, :] < n[:, None]] = table.byte_ids[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]
             _merge_bucket(ids, n, table, out, part)
         low = high
-    for i in np.flatnonzero(size > LONG):
-        out[i] = _merge_long(table.byte_ids[np.frombuffer(pieces[i], np.uint8)], table)
     return out
 
 
@@ -255,7 +246,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizer: str, folder:
 
     id_type = df.schema[id_col].dataType.simpleString()
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_batches(plain, run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -271,4 +262,4 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str, fold
 
     id_type = df.schema[id_col].dataType.simpleString()
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, f"id {id_type}, n_tokens bigint").withColumnRenamed("id", id_col)
+    return map_batches(plain, run, f"id {id_type}, n_tokens bigint").withColumnRenamed("id", id_col)

@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retort.session import map_batches
+
 #: Bounds of the sample of labelled pages.
 PER_LANGUAGE, SHORTEST, LONGEST = 500, 200, 6000
 #: A page holds a language from this many letters on.
 MIN_LETTERS = 150
 #: Price, in letters, of changing the language between two words.
 SWITCH = 5.0
-#: Words a chain of scores has at most; longer pages go in several chains.
+#: Words of a long page that are scored side by side with its other words; the result doesn't depend on it.
 CHAIN = 256
 #: Slots of the filter (a power of two) and slots of an n-gram.
 SLOTS, PROBES = 1 << 20, 3
@@ -123,7 +125,11 @@ class LanguageFilter:
 def decode(scores: np.ndarray, letters: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The language of every word: the best path over each text's words with a switch penalty.
 
-    ``count`` words belong to each text.  Chains of up to CHAIN words run side by side.
+    ``count`` words belong to each text.  Long texts are cut into chains of
+    ``CHAIN`` words that run side by side.  A chain begins with the scores the one
+    before it ends with: chains that began with other scores run again, until none
+    changes (a path forgets its start within some words, so that this takes few
+    rounds).  The way back is found likewise, so that the cuts change nothing.
     """
     n_words, n = scores.shape
     if not n_words:
@@ -134,33 +140,46 @@ def decode(scores: np.ndarray, letters: np.ndarray, count: np.ndarray) -> np.nda
     part = np.arange(len(text)) - np.repeat(np.cumsum(chains) - chains, chains)
     first = start[text] + part * CHAIN
     size = np.minimum(CHAIN, start[text] + count[text] - first)
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    gain = (scores * letters[:, None]).astype(np.float32)
-    best = np.zeros((len(first), n), np.float32)
+    gain = (scores * letters[:, None]).astype(np.float64)
+    opening, ending = np.zeros((len(first), n)), np.zeros((len(first), n))
     stays = np.zeros((n_words, n), bool)
     tops = np.zeros(n_words, np.int8)
-    longest = int(size[0])
-    live = len(size) - np.searchsorted(size[::-1], np.arange(longest), "right")
-    for t in range(longest):
-        k = live[t]
-        word = first[:k] + t
-        if t:
-            top = best[:k].argmax(1)
-            jump = best[np.arange(k), top][:, None] - SWITCH
-            stay = best[:k] >= jump
-            stays[word], tops[word] = stay, top
-            best[:k] = np.where(stay, best[:k], jump) + gain[word]
-        else:
-            best[:k] = gain[word]
+    follows = part > 0
+
+    def in_step(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Place in the chain, and how many of ``which``, sorted by falling size, reach it."""
+        sizes = size[which]
+        yield from enumerate(len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right"))
+
+    todo = np.arange(len(first))
+    while len(todo):
+        todo = todo[np.argsort(-size[todo], kind="stable")]
+        best = opening[todo]
+        for t, k in in_step(todo):
+            word, now = first[todo[:k]] + t, best[:k]
+            top = now.argmax(1)
+            jump = now[np.arange(k), top][:, None] - SWITCH
+            stays[word], tops[word] = now >= jump, top
+            best[:k] = np.maximum(now, jump) + gain[word]
+        ending[todo] = best - best.max(1, keepdims=True)
+        after = todo[(todo + 1 < len(first)) & follows[np.minimum(todo + 1, len(first) - 1)]] + 1
+        todo = after[np.abs(opening[after] - ending[after - 1]).max(1) > 1e-6] if len(after) else after
+        opening[todo] = ending[todo - 1]
     path = np.zeros(n_words, np.int8)
-    at = best.argmax(1)
-    for t in range(longest - 1, -1, -1):
-        k = live[t]
-        word = first[:k] + t
-        path[word] = at[:k]
-        if t:
+    last = ending.argmax(1)
+    todo = np.arange(len(first))
+    while len(todo):
+        todo = todo[np.argsort(-size[todo], kind="stable")]
+        at = last[todo]
+        for t, k in reversed(list(in_step(todo))):
+            word = first[todo[:k]] + t
+            path[word] = at[:k]
             at[:k] = np.where(stays[word, at[:k]], at[:k], tops[word])
+        inner = follows[todo]
+        before, at = todo[inner] - 1, at[inner]
+        changed = last[before] != at
+        last[before] = at
+        todo = before[changed]
     return path
 
 
@@ -286,54 +305,55 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return _small(batch, "text")
 
 
-def page_languages(documents: DataFrame, languages: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
+def page_languages(documents: DataFrame, languages: DataFrame, min_letters: int = MIN_LETTERS, model: LanguageFilter | None = None) -> DataFrame:
     """(doc_id, lang_label, lang, letters, confidence): a row for each language that a page holds.
 
     ``lang_label`` is the page's own label; confidence is the mean score of the
-    language's words, weighted by letters, from 0 to 1.
+    language's words, weighted by letters, from 0 to 1.  ``model`` is what
+    ``fitted`` gave for these languages, to fit once for several calls.
     """
     codes, names = language_codes(languages)
-    model = documents.sparkSession.sparkContext.broadcast(fitted(documents, codes, names))  # SLOTS bytes
+    held = documents.sparkSession.sparkContext.broadcast(model or fitted(documents, codes, names))  # SLOTS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger, n = _worker_tagger(model), len(codes)
+        tagger, n = _worker_tagger(held), len(codes)
         for whole in batches:
             for b in _parts(whole):
                 path, own, letters, count = tagger.tag(b.column("text").to_pylist())
                 cell = np.repeat(np.arange(len(count)), count) * n + path
                 total = np.bincount(cell, weights=letters, minlength=len(count) * n)
                 score = np.bincount(cell, weights=letters * own, minlength=len(count) * n)
-                held = np.flatnonzero(total >= min_letters)
-                row = pa.array(held // n)
+                cells = np.flatnonzero(total >= min_letters)
+                row = pa.array(cells // n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id").take(row), b.column("lang").take(row), pa.array([codes[i] for i in held % n], pa.string()),
-                        pa.array(total[held].astype(np.int64)), pa.array(score[held] / total[held]),
+                        b.column("doc_id").take(row), b.column("lang").take(row), pa.array([codes[i] for i in cells % n], pa.string()),
+                        pa.array(total[cells].astype(np.int64)), pa.array(score[cells] / total[cells]),
                     ],
                     ["doc_id", "lang_label", "lang", "letters", "confidence"],
                 )
 
     rows = documents.select("doc_id", "lang", "text")
-    return rows.mapInArrow(run, "doc_id bigint, lang_label string, lang string, letters bigint, confidence double")
+    return map_batches(rows, run, "doc_id bigint, lang_label string, lang string, letters bigint, confidence double")
 
 
-def wrong_labels(documents: DataFrame, languages: DataFrame) -> DataFrame:
+def wrong_labels(documents: DataFrame, languages: DataFrame, model: LanguageFilter | None = None) -> DataFrame:
     """(doc_id, lang): all languages of pages that hold several, or one that their label doesn't name."""
     _, names = language_codes(languages)
-    held = page_languages(documents, languages)
+    held = page_languages(documents, languages, model=model)
     label = named_code(F.col("lang_label"), names)
     per = held.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.collect_set(F.coalesce(label, F.lit(""))).alias("labels"))
     case = (F.size("langs") > 1) | (F.get("labels", F.lit(0)) != F.get("langs", F.lit(0)))
     return per.filter(case).select("doc_id", F.explode("langs").alias("lang"))
 
 
-def segments(documents: DataFrame, languages: DataFrame) -> DataFrame:
+def segments(documents: DataFrame, languages: DataFrame, model: LanguageFilter | None = None) -> DataFrame:
     """(doc_id, segment_no, char_start, char_end, lang, letters, confidence): the stretches of one language, in order."""
     codes, names = language_codes(languages)
-    model = documents.sparkSession.sparkContext.broadcast(fitted(documents, codes, names))  # SLOTS bytes
+    held = documents.sparkSession.sparkContext.broadcast(model or fitted(documents, codes, names))  # SLOTS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _worker_tagger(model)
+        tagger = _worker_tagger(held)
         for whole in batches:
             for b in _parts(whole):
                 texts = b.column("text").to_pylist()
@@ -357,4 +377,4 @@ def segments(documents: DataFrame, languages: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id bigint, segment_no int, char_start bigint, char_end bigint, lang string, letters bigint, confidence double"
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return map_batches(documents.select("doc_id", "text"), run, schema)
