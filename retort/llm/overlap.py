@@ -322,14 +322,19 @@ def align(pairs: DataFrame) -> DataFrame:
     its last.  If these stay within the limit, their sum is the band in which the
     distance is then worked out; if not, the limit is.
     """
-    both = pairs.withColumn("_most", allowed(F.length("text_e"), F.length("text_t")))
-    both = both.withColumn("_left", F.expr("levenshtein(left(text_e, first.a), left(text_t, first.b), _most)"))
+
+    def then(df: DataFrame, **made: Column | str) -> DataFrame:
+        # A generator, so that a filter on the distance isn't pushed down, which would work all of this out again.
+        return df.select("*", F.inline(F.array(F.struct(*[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in made.items()]))))
+
+    most = allowed(F.length("text_e"), F.length("text_t"))
+    both = then(pairs.withColumn("_most", most), _left="levenshtein(left(text_e, first.a), left(text_t, first.b), _most)")
     inside = "levenshtein(substring(text_e, first.a + 1, last.a - first.a), substring(text_t, first.b + 1, last.b - first.b), _most - _left)"
-    both = both.withColumn("_inside", F.when(F.col("_left") >= 0, F.expr(inside)).otherwise(-1))
+    both = then(both, _inside=f"CASE WHEN _left >= 0 THEN {inside} ELSE -1 END")
     after = "levenshtein(substring(text_e, last.a + 1), substring(text_t, last.b + 1), _most - _left - _inside)"
-    both = both.withColumn("_right", F.when(F.col("_inside") >= 0, F.expr(after)).otherwise(-1))
-    both = both.withColumn("_band", F.when(F.col("_right") >= 0, F.col("_left") + F.col("_inside") + F.col("_right")).otherwise(F.col("_most")))
-    return both.withColumn("distance", F.expr("levenshtein(text_e, text_t, _band)")).drop("_most", "_left", "_inside", "_right", "_band")
+    both = then(both, _right=f"CASE WHEN _inside >= 0 THEN {after} ELSE -1 END")
+    both = then(both, distance="levenshtein(text_e, text_t, CASE WHEN _right >= 0 THEN _left + _inside + _right ELSE _most END)")
+    return both.drop("_most", "_left", "_inside", "_right")
 
 
 def _tag(text: Column) -> Column:

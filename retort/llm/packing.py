@@ -5,8 +5,8 @@ and not by the data.  A configuration linear program (which patterns of lengths
 are laid into how many containers) is solved by multiplicative weights: a length
 is priced by itself times a weight that falls exponentially with the share of
 its demand that is covered, a knapsack dynamic program finds the pattern of the
-best price among those that fill a container best, and it is laid for a fixed
-fraction of what its scarcest length still needs, rounded down to whole
+best price (first among those that fill a container best, then among all, if
+that stays above the lower bound), and it is laid for a fixed fraction of what its scarcest length still needs, rounded down to whole
 containers.  All lengths so run out together, and patterns stay full until
 little is left; what the groups of the histogram leave goes through the program once
 more together, and first-fit-decreasing lays the rest.  The lengths themselves are
@@ -37,8 +37,10 @@ from retort.session import checkpoint, map_batches, ship
 
 #: Lengths that a knapsack chooses from: those of the highest weight.
 CHOICE = 96
-#: Share of its scarcest length's open demand that a pattern is laid for, and how fast weights fall.
-STEP, RATE = 0.25, 4.0
+#: Share of its scarcest length's open demand that a pattern is laid for (and the share tried last), and how fast weights fall.
+STEP, FINE, RATE = 0.25, 0.03, 4.0
+#: Where the price alone decides, weights grow with this power of the length: large lengths have fewer partners.
+TILT = 0.1
 #: Patterns are laid until less than REST of the demand is open and they leave more than 1 / FULL of a container unused.
 REST, FULL = 0.05, 256
 #: Containers of a group, about, and the most groups of a program.
@@ -47,8 +49,8 @@ PER_GROUP, GROUPS = 1024, 32
 PER_PART = 100_000
 
 
-def best_pattern(size: np.ndarray, weight: np.ndarray, most: np.ndarray, room: int) -> tuple[np.ndarray, int]:
-    """Bounded knapsack: of the patterns that fill ``room`` best, the one of the highest price (size times weight), and what it fills.
+def best_pattern(size: np.ndarray, weight: np.ndarray, most: np.ndarray, room: int, slack: int = 0) -> tuple[np.ndarray, int]:
+    """Bounded knapsack: of the patterns that fill ``room`` best, up to ``slack``, the one of the highest price (size times weight), and what it fills.
 
     Multiplicities are split into powers of two, so that each part is taken or left.
     """
@@ -70,7 +72,9 @@ def best_pattern(size: np.ndarray, weight: np.ndarray, most: np.ndarray, room: i
             new = value[: room + 1 - s] + s * weight[i]
             np.greater(new, value[s:], out=took[k, s:])
             np.copyto(value[s:], new, where=took[k, s:])
-    filled = at = int(np.flatnonzero(value > -np.inf)[-1])
+    most_filled = int(np.flatnonzero(value > -np.inf)[-1])
+    least = max(0, most_filled - slack)
+    filled = at = most_filled - int(value[least : most_filled + 1][::-1].argmax())
     pattern = np.zeros(len(size), np.int64)
     for k in range(len(part_item) - 1, -1, -1):
         if took[k, at]:
@@ -80,8 +84,29 @@ def best_pattern(size: np.ndarray, weight: np.ndarray, most: np.ndarray, room: i
 
 
 def configurations(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
-    """Patterns with the number of containers that follow each, and the demand that they leave open."""
+    """Patterns with the number of containers that follow each, and the demand that they leave open.
+
+    Patterns that fill best are laid first; where that doesn't reach the lower
+    bound (few lengths, that don't add up), the price alone decides how much
+    room may be left, and the better solution stays; all is left open where
+    first-fit-decreasing needs fewer containers still.
+    """
     size, demand = np.asarray(size, np.int64), np.asarray(demand, np.int64)
+    bound = -(-int((size * demand).sum()) // room)
+    best, least = ([], demand), None
+    for slack, step, tilt in ((0, STEP, 0.0), (room, FINE, TILT)):
+        laid, left = _weighted(size, demand, room, slack, step, tilt)
+        n = sum(times for _, times in laid) + (sum(times for _, times in first_fit(size, left, room)) if left.any() else 0)
+        if least is None or n < least:
+            best, least = (laid, left), n
+        if n <= bound + bound // 1000:
+            return best
+    # A few lengths that don't add up: first-fit-decreasing alone may be better by some containers in a thousand.
+    return ([], demand) if sum(times for _, times in first_fit(size, demand, room)) < least else best
+
+
+def _weighted(size: np.ndarray, demand: np.ndarray, room: int, slack: int, step: float, tilt: float) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """One run of multiplicative weights."""
     left, out = demand.copy(), []
     total = int((size * demand).sum())
     # Equal weights are told apart by a fixed mixture, not by size: a choice of large lengths only would fill badly.
@@ -89,21 +114,19 @@ def configurations(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[lis
     while left.any():
         live = np.flatnonzero(left)
         share = left[live] / demand[live]
-        weight = np.exp(RATE * (share - share.max()))
-        choice = live[np.lexsort((mixed[live], -weight))[:CHOICE]]
-        weights = dict(zip(live, weight))
-        price = lambda rows: np.array([weights[i] for i in rows])
-        pattern, filled = best_pattern(size[choice], price(choice), left[choice], room)
-        if filled * FULL < room * (FULL - 1) and len(choice) < len(live):
-            choice = live
-            pattern, filled = best_pattern(size[choice], weight, left[choice], room)
+        weight = np.exp(RATE * (share - share.max())) * (size[live] / room) ** tilt
+        order = np.lexsort((mixed[live], -weight))[:CHOICE]
+        pattern, filled = best_pattern(size[live[order]], weight[order], left[live[order]], room, slack)
+        if filled * FULL < room * (FULL - 1) and len(order) < len(live):
+            order = np.arange(len(live))
+            pattern, filled = best_pattern(size[live], weight, left[live], room, slack)
         if filled * FULL < room * (FULL - 1) and (left * size).sum() < REST * total:
             break
-        used = choice[pattern > 0]
-        times = max(1, int(STEP * (left[used] // pattern[pattern > 0]).min()))
+        used, per = live[order[pattern > 0]], pattern[pattern > 0]
+        times = max(1, int(step * (left[used] // per).min()))
         whole = np.zeros(len(size), np.int64)
-        whole[choice] = pattern
-        left -= whole * times
+        whole[used] = per
+        left[used] -= per * times
         out.append((whole, times))
     return out, left
 
