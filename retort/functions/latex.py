@@ -1,6 +1,8 @@
 """Canonical tokens of formula text: words without meaning dropped, names spelled out, synonyms united.
 
-Built-in expressions over token arrays; the tables are parameters.
+Built-in expressions over token arrays.  Which words are dropped or replaced is
+a parameter: a small default by LaTeX category below, or whole tables of the
+user's own, read from a file (``sources.tables.word_table``).
 """
 
 from __future__ import annotations
@@ -8,41 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names that are spelled letter by letter.
-SPELLED = [
-    "cm", "mm", "km", "lim", "min", "max", "sin", "cos", "tan", "sec", "cot", "csc", "log", "lg", "ln",
-    "arcsin", "arccos", "arccot", "arctan", "sh", "det", "exp",
-]
-#: Relations whose name with an n in front means their negation.
-NEGATED = [
-    "cong", "leq", "leqq", "geq", "geqq", "leftarrow", "Leftarrow", "rightarrow", "Rightarrow", "subset", "subseteq", "supset", "supseteq", "exists",
-]
-#: Words that only set type.
-IGNORED = [
-    "\\rm", "\\mbox", "\\mathrm", "\\Bigg", "\\small", "\\left", "\\right", "\\displaystyle", "\\scriptstyle", "\\scriptscriptstyle",
-    "\\bigg", "\\big", "\\mathbf", "\\mathbb", "\\mathsf", "\\textstyle", "\\texttt", "\\textrm", "\\operatorname", "\\boldsymbol",
-    "\\Big", "\\nolimits", "\\text", "\\mathop", "\\!", "\\bf", "$",
-]
-#: Words that become others.
-EXPANDED = {
-    "\\ne": ["\\not", "="], "\\neq": ["\\not", "="], "\\notin": ["\\not", "\\in"], "\\ldots": [".", ".", "."], "\\dots": [".", ".", "."],
-    "\\;": ["\\space"], "\\,": ["\\space"], "\\:": ["\\space"], "\\qquad": ["\\space"], "%": ["\\%"], "\\lt": ["<"], "\\gt": [">"],
-    "\\lbrack": ["["], "\\rbrack": ["]"], "\\colon": [":"], "\\to": ["\\rightarrow"], "\\bar": ["\\overline"], "\\stackrel": ["\\overset"],
-    "\\tfrac": ["\\frac"], "\\cfrac": ["\\frac"], "\\dfrac": ["\\frac"], "\\leqslant": ["\\le"], "\\geqslant": ["\\ge"], "\\leq": ["\\le"], "\\geq": ["\\ge"],
-}
-
-
-def expansions() -> dict[str, list[str]]:
-    """Every word of the tables with the tokens it becomes."""
-    spelled = {f"\\{w}": list(w) for w in SPELLED}
-    negated = {f"\\n{w}": ["\\not", f"\\{w}"] for w in NEGATED}
-    return spelled | negated | EXPANDED
-
-
-def canonical_tokens(items: Column, expanded: dict[str, list[str]] | None = None, ignored: list[str] | None = None) -> Column:
+#: Font and size switches of plain LaTeX; they change how text looks.
+FONTS = ["\\mathrm", "\\mathbf", "\\mathit", "\\mathsf", "\\mathtt", "\\textrm", "\\textbf", "\\textit", "\\rm", "\\bf", "\\it", "\\displaystyle", "\\textstyle"]
+#: Delimiter sizes of plain LaTeX.
+SIZES = ["\\left", "\\right", "\\big", "\\Big", "\\bigg", "\\Bigg"]
+#: Spaces of plain LaTeX, all written as one.
+SPACES = {w: ["\\space"] for w in ("\\,", "\\:", "\\;", "\\quad", "\\qquad")}
+#: Operators that are typeset as their letters.
+LETTERS = {"\\" + w: list(w) for w in ("sin", "cos", "tan", "log", "ln", "exp", "lim", "max", "min", "det")}
+#: Two names of one sign.
+SYNONYMS = {"\\leq": ["\\le"], "\\geq": ["\\ge"], "\\neq": ["\\ne"], "\\to": ["\\rightarrow"], "\\lbrack": ["["], "\\rbrack": ["]"], "\\dfrac": ["\\frac"], "\\tfrac": ["\\frac"]}
+
+
+def canonical_tokens(items: Column, expanded: dict[str, list[str]], ignored: list[str]) -> Column:
     """Tokens without the ignored words, each word of ``expanded`` replaced by its tokens; null stays null."""
-    expanded = expansions() if expanded is None else expanded
-    kept = F.filter(items, lambda t: ~t.isin(IGNORED if ignored is None else ignored))
+    kept = F.filter(items, lambda t: ~t.isin(ignored)) if ignored else items
     if not expanded:
         return kept
     table = F.create_map(*[x for w, out in expanded.items() for x in (F.lit(w), F.array(*map(F.lit, out)))])

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retort.session import map_batches
+
 
 def best_hypothesis(pairs: DataFrame, keys: list[str], label: str, hyp: str, order: str, texts: bool = False) -> DataFrame:
     """The hypothesis of each key with the least edit distance; the first by ``order`` among equals.
@@ -22,7 +24,13 @@ def best_hypothesis(pairs: DataFrame, keys: list[str], label: str, hyp: str, ord
 
 
 def count_edits(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """(deleted from a, replaced, inserted from b) of one shortest edit script; replacing goes before the others."""
+    """(deleted from a, replaced, inserted from b) of one shortest edit script; a common start and end stay, replacing goes before the others."""
+    begin = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[begin:], b[begin:]
+    end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a or not b:
+        return len(a), 0, len(b)
     code = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
     x, y = np.array([code[t] for t in a], np.int32), np.array([code[t] for t in b], np.int32)
     table = np.empty((len(x) + 1, len(y) + 1), np.int32)
@@ -56,26 +64,33 @@ def edit_counts(df: DataFrame, label: str, hyp: str) -> DataFrame:
             counts = np.array([count_edits(x or [], y or []) for x, y in pairs], np.int32).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, counts.T)], [*b.schema.names, "n_del", "n_sub", "n_ins"])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def _guarded(n: Column) -> Column:
     return F.when(n == 0, F.lit(1e-10)).otherwise(n.cast("double"))
 
 
-def metric_table(scores: DataFrame, metrics: dict[str, tuple[Column, Column, Column, Column, Column]]) -> DataFrame:
-    """One row a metric of ``metrics``: sums of (correct, d, s, i, n) over all rows, and the ratios.
+COUNTS = ("sent_n", "sent_correct", "d", "s", "i", "n")
+
+
+def metric_table(scores: DataFrame, metrics: dict[str, dict[str, Column]]) -> DataFrame:
+    """One row a metric of ``metrics``: sums of its counts (``COUNTS``, 0 where not given) over all rows, and the ratios.
 
-    Columns: metric, sent_n, sent_correct, d, s, i, n, wacc, wcor, sacc; zero
-    denominators count as 1e-10.  All metrics come from one pass over the rows.
+    Columns: metric, the counts, wacc, wcor, sacc; zero denominators count as
+    1e-10.  A row whose ``sent_n`` is null has no part in that metric.  All metrics
+    come from one pass over the rows.
     """
-    rows = [F.struct(F.lit(name).alias("metric"), *(x.cast("bigint").alias(c) for x, c in zip(v, ("ok", "d", "s", "i", "n")))) for name, v in metrics.items()]
-    long = scores.select(F.explode(F.array(*rows)).alias("m")).select("m.*")
-    total = long.groupBy("metric").agg(F.count("*").alias("sent_n"), F.sum("ok").alias("sent_correct"), *(F.sum(c).alias(c) for c in "dsin"))
+    rows = [F.struct(F.lit(name).alias("metric"), *(given.get(c, F.lit(0)).cast("bigint").alias(c) for c in COUNTS)) for name, given in metrics.items()]
+    long = scores.select(F.explode(F.array(*rows)).alias("m")).select("m.*").filter("sent_n IS NOT NULL")
+    return metric_ratios(long.groupBy("metric").agg(*(F.sum(c).alias(c) for c in COUNTS)))
+
+
+def metric_ratios(totals: DataFrame) -> DataFrame:
+    """Sums of counts (metric, ``COUNTS``), of one pass or of several parts added up, with their ratios."""
     d, s, i, n = (F.col(c) for c in "dsin")
-    return total.select(
-        "metric", "sent_n", "sent_correct", "d", "s", "i", "n",
-        F.round((n - d - s - i) / _guarded(n), 6).alias("wacc"), F.round((n - d - s) / _guarded(n), 6).alias("wcor"),
+    return totals.select(
+        "metric", *COUNTS, F.round((n - d - s - i) / _guarded(n), 6).alias("wacc"), F.round((n - d - s) / _guarded(n), 6).alias("wcor"),
         F.round(F.col("sent_correct") / _guarded(F.col("sent_n")), 6).alias("sacc"),
     )
 
@@ -125,4 +140,4 @@ def shorten_tails(df: DataFrame, keys: list[str], items: str) -> DataFrame:
             done = [None if x is None else drop_repeated_tail(x) for x in b.column(items).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(done, pa.list_(pa.string()))], [*keys, items])
 
-    return df.select(*keys, items).mapInArrow(run, f"{kinds}, `{items}` array<string>")
+    return map_batches(df.select(*keys, items), run, f"{kinds}, `{items}` array<string>")

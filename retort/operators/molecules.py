@@ -19,18 +19,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retort.functions.text import let
+from retort.session import map_batches
 
 MARK = "\\chemfig"
 #: Bond types, longest first.
 BONDS = ["<:", ">:", "<|", ">|", "-:", "=_", "=^", "~/", "-", "=", "~", "<", ">"]
+#: Bond types by the number that a hook may name them with.
+NUMBERED = {"1": "-", "2": "=", "3": "~", "4": ">", "5": "<", "6": ">:", "7": "<:", "8": ">|", "9": "<|"}
+CIRCLE = "\\circle"
 _BOND = "|".join(map(re.escape, BONDS))
 _TOKEN = re.compile(
-    rf"\?\[(?P<hook>[^,\]]*)(?:,(?P<kind>[^\]]*))?\]|(?P<bond>(?:{_BOND})[@#]?)(?:\[(?P<attr>[^\]]*)\])?"
-    r"|(?P<open>branch\(|\()|(?P<close>branch\)|\))|(?P<text>\\?.)",
+    rf"(?P<double>\*?)\*(?:\[[^\]]*\])?(?P<edges>\d+)\((?:\[(?P<rbase>[^\]]*)\])?|(?P<q>\?)(?:\[(?P<hook>[^,\]]*)(?:,(?P<kind>[^,\]]*))?(?:,[^\]]*)?\])?"
+    rf"|(?P<bond>(?:{_BOND})[@#]?)(?:\[(?P<attr>[^\]]*)\])?|(?P<open>branch\(|\()(?:\[(?P<base>[^\]]*)\])?|(?P<close>branch\)|\))|\\mcfcringle\{{(?P<radius>[^{{}}]*)\}}"
+    r"|(?P<command>\\[A-Za-z]+)|(?P<group>\{)|(?P<foul>[\[\]*}])|(?P<text>\\?.)",
     re.DOTALL,
 )
 ATOM = "struct<id:int,text:string,x:double,y:double>"
-BOND = "struct<id:int,type:string,angle:double,src:int,dst:int,hook:string>"
+BOND = "struct<id:int,type:string,angle:double,src:int,dst:int,hook:string,length:double>"
 
 
 def split_fragments(text: str) -> tuple[str, list[str]]:
@@ -59,61 +64,160 @@ def split_fragments(text: str) -> tuple[str, list[str]]:
     return "".join([*out, text[at:]]), found
 
 
-def bond_angle(attr: str | None, last: float) -> float:
+def bond_angle(attr: str | None, last: float, default: float = 0.0) -> float:
     """Angle in degrees of a bond's first attribute: ``:a`` absolute, ``::a`` on top of the last bond's, a bare number times 45."""
     first = (attr or "").split(",")[0].strip()
     if first.startswith("::"):
         return (last + float(first[2:])) % 360
     if first.startswith(":"):
         return float(first[1:]) % 360
-    return float(first) * 45 % 360 if first else 0.0
+    return float(first) * 45 % 360 if first else default % 360
+
+
+def bond_length(attr: str | None, default: float = 1.0) -> float:
+    """Length factor: a bond's second attribute."""
+    second = [*(attr or "").split(","), ""][1].strip()
+    return float(second) if second else default
+
+
+def _closed(text: str, at: int) -> int:
+    """The place after the curly bracket that closes the one at ``at``."""
+    depth = 0
+    while at < len(text):
+        step = 2 if text[at] == "\\" else 1
+        depth += (text[at] == "{") - (text[at] == "}")
+        at += step
+        if not depth:
+            return at
+    raise ValueError("a group doesn't close")
+
+
+class _Level:
+    """A branch or ring that is being read: where it began, what bonds in it take by default, and the ring's edges."""
+
+    def __init__(self, at: int, last: float | None, base: str | None, above: _Level | None):
+        self.at, self.last, self.base, self.above, self.fresh = at, last, base, above, True
+        self.angle, self.length = (above.angle, above.length) if above else (0.0, 1.0)
+        self.edges: list[float] = []
+        self.done = 0
+        self.circle = False
+        if base is not None:
+            self.angle, self.length = bond_angle(base, last or 0.0, self.angle), bond_length(base, self.length)
+        elif above and above.edges:  # a branch at a ring's corner points away from the ring
+            n = len(above.edges)
+            self.angle = above.edges[above.done % n] + 90 * (n - 2) / n + 180
+
+    def ring(self, n: int, last: float | None) -> list[float]:
+        """Angles of the edges of a ring of ``n`` that begins at this level's atom, counterclockwise."""
+        if n < 3:
+            raise ValueError("a ring of fewer than three edges")
+        inner, corner = 180 * (n - 2) / n, self if self.edges else self.above if self.fresh and self.above and self.above.edges else None
+        if corner:  # the new ring's last edge lies on the old ring's next one
+            m = len(corner.edges)
+            level, last_edge = 360 - 180 * (m - 2) / m, corner.edges[corner.done % m] + 180
+        elif last is not None:
+            level, last_edge = inner / 2 + 180, last - 180 + inner / 2
+        else:
+            level, last_edge = 270.0, 270.0
+        if self.fresh and self.base:
+            turn = self.base.split(",")[0].strip()
+            if turn.startswith("::"):
+                last_edge += float(turn[2:])
+            elif turn:
+                last_edge = level + bond_angle(self.base, 0.0)
+        return [(last_edge - 360 / n * (n - 1 - i)) % 360 for i in range(n)]
 
 
 def parse_fragment(markup: str) -> tuple[list[dict], list[dict]]:
-    """Atoms and bonds of one molecule; raises ValueError for brackets or hooks that don't match."""
+    """Atoms and bonds of one molecule; raises ValueError for what isn't understood, and for brackets or hooks that don't match.
+
+    Bonds have attributes (angle, length factor); branches and the molecule may
+    begin with attributes for all their bonds; ``*n(..)`` is a ring of n edges,
+    whose angles are worked out, ``**n(..)`` one with an atom ``\\circle`` in its
+    middle; commands and groups in curly brackets belong to an atom's text; a
+    hook's first place is linked with each later one.
+    """
+    text = re.sub(r"\s+", "", markup)
     atoms: list[dict] = []
     bonds: list[dict] = []
-    stack: list[tuple[int, float]] = []
-    hooks: dict[str, int] = {}
+    hooks: dict[str, list] = {}
     exact: list[tuple[float, float]] = []
-    at, last = -1, 0.0
+    start = re.match(r"\[([^\]]*)\]", text)
+    level = _Level(-1, None, start[1] if start else None, None)
+    at, last, where = -1, None, start.end() if start else 0
 
-    def new_atom(x: float, y: float) -> int:
+    def new_atom(x: float, y: float, text: str = "") -> int:
         exact.append((x, y))
-        atoms.append({"id": len(atoms), "text": "", "x": round(x, 6) + 0.0, "y": round(y, 6) + 0.0})
+        atoms.append({"id": len(atoms), "text": text, "x": round(x, 6) + 0.0, "y": round(y, 6) + 0.0})
         return len(atoms) - 1
 
-    for m in _TOKEN.finditer(re.sub(r"\s+", "", markup)):
+    def put_bond(kind: str, angle: float, src: int, dst: int, length: float, hook: str | None = None) -> None:
+        bonds.append({"id": len(bonds), "type": kind, "angle": angle, "src": src, "dst": dst, "hook": hook, "length": length})
+
+    def beyond(src: int, angle: float, length: float) -> tuple[float, float]:
+        (x, y), turn = exact[src], math.radians(angle)
+        return x + length * math.cos(turn), y + length * math.sin(turn)
+
+    while where < len(text):
+        m = _TOKEN.match(text, where)
+        where = m.end()
+        if m["foul"]:
+            raise ValueError(f"{m['foul']} out of place")
         if at < 0 and not m["close"]:
-            at = new_atom(0.0, 0.0)
-        if m["bond"]:
-            last = bond_angle(m["attr"], last)
-            (x, y), turn = exact[at], math.radians(last)
-            to = new_atom(x + math.cos(turn), y + math.sin(turn))
-            bonds.append({"id": len(bonds), "type": m["bond"], "angle": last, "src": at, "dst": to, "hook": None})
-            at = to
+            at = level.at = new_atom(0.0, 0.0)
+        if m["edges"]:
+            inside = _Level(at, last, m["rbase"], level)
+            edges = (inside if m["rbase"] else level).ring(int(m["edges"]), last)
+            level.fresh, inside.edges, inside.circle = False, edges, bool(m["double"])
+            level = inside
+        elif m["bond"]:
+            length = bond_length(m["attr"], level.length)
+            if level.edges:
+                if level.done == len(level.edges):
+                    raise ValueError("a ring has more bonds than edges")
+                last = level.edges[level.done]
+                level.done += 1
+                to = level.at if level.done == len(level.edges) else new_atom(*beyond(at, last, length))
+            else:
+                last = bond_angle(m["attr"], last or 0.0, level.angle)
+                to = new_atom(*beyond(at, last, length))
+            put_bond(m["bond"], last, at, to, length)
+            at, level.fresh = to, False
         elif m["open"]:
-            stack.append((at, last))
+            level = _Level(at, last, m["base"], level)
         elif m["close"]:
-            if not stack:
+            if not level.above:
                 raise ValueError("a branch closes that didn't open")
-            at, last = stack.pop()
-        elif m["hook"] is not None:
-            if m["hook"] in hooks:
-                src = hooks.pop(m["hook"])
-                kind = (m["kind"] or "").strip("{}") or "-"
-                angle = math.degrees(math.atan2(atoms[at]["y"] - atoms[src]["y"], atoms[at]["x"] - atoms[src]["x"])) % 360
-                bonds.append({"id": len(bonds), "type": kind, "angle": round(angle, 6), "src": src, "dst": at, "hook": m["hook"]})
+            if level.circle:
+                n = len(level.edges)
+                angle, radius = (level.edges[0] + 90 * (n - 2) / n) % 360, 0.5 / math.sin(math.pi / n) * level.length
+                put_bond("-:", angle, level.at, new_atom(*beyond(level.at, angle, radius), CIRCLE), radius)
+            at, last, level = level.at, level.last, level.above
+        elif m["q"]:
+            name, kind = m["hook"] or "", (m["kind"] or "").strip("{}")
+            if name in hooks:
+                src = hooks[name][0]
+                hooks[name][1] += 1
+                angle = math.degrees(math.atan2(exact[at][1] - exact[src][1], exact[at][0] - exact[src][0])) % 360
+                put_bond(NUMBERED.get(kind, kind) or "-", round(angle, 6), src, at, round(math.dist(exact[at], exact[src]), 6), name)
             elif m["kind"]:
-                raise ValueError(f"hook {m['hook']} ends before it starts")
+                raise ValueError(f"hook {name} ends before it starts")
             else:
-                hooks[m["hook"]] = at
+                hooks[name] = [at, 0]
+        elif m["radius"] is not None:
+            atoms[at]["text"] += CIRCLE
         else:
-            atoms[at]["text"] += m["text"]
-    if stack:
+            begin = m.start()
+            if m["group"]:
+                where = _closed(text, begin)
+            while m["command"] and text[where : where + 1] == "{":
+                where = _closed(text, where)
+            atoms[at]["text"] += text[begin:where]
+    if level.above:
         raise ValueError("a branch doesn't close")
-    if hooks:
-        raise ValueError(f"hook {min(hooks)} doesn't end")
+    lone = [name for name, (_, ends) in hooks.items() if not ends]
+    if lone:
+        raise ValueError(f"hook {min(lone)} doesn't end")
     return atoms, bonds
 
 
@@ -122,7 +226,7 @@ def fragments(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kinds}, frag int, rest string, markup string, atoms array<{ATOM}>, bonds array<{BOND}>, error string"
     atom = pa.struct([("id", pa.int32()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64())])
-    bond = pa.struct([("id", pa.int32()), ("type", pa.string()), ("angle", pa.float64()), ("src", pa.int32()), ("dst", pa.int32()), ("hook", pa.string())])
+    bond = pa.struct([("id", pa.int32()), ("type", pa.string()), ("angle", pa.float64()), ("src", pa.int32()), ("dst", pa.int32()), ("hook", pa.string()), ("length", pa.float64())])
     types = [pa.int32(), pa.string(), pa.string(), pa.list_(atom), pa.list_(bond), pa.string()]
 
     def of(text: str | None) -> Iterator[tuple]:
@@ -148,7 +252,7 @@ def fragments(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
             names = [*keys, "frag", "rest", "markup", "atoms", "bonds", "error"]
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(owner, pa.int64())) for k in keys), *columns], names)
 
-    return df.select(*dict.fromkeys([*keys, text_col])).mapInArrow(run, schema)
+    return map_batches(df.select(*dict.fromkeys([*keys, text_col])), run, schema)
 
 
 def degrees() -> Column:

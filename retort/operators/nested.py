@@ -79,18 +79,21 @@ def dewey_nodes(df: DataFrame, array_col: str, fields: dict[str, str], child: st
     return out.select(*(keep or []), "level", "area_path", parent.alias("parent_path"), *fields)
 
 
+def latest_records(records: DataFrame, columns: list[str]) -> DataFrame:
+    """record_id and the columns of each record's last delivery (any one of equal loads, the same on every run)."""
+    order = F.struct("loaded_at", F.xxhash64(*columns))
+    last = records.groupBy("record_id").agg(F.max_by(F.struct(*columns), order).alias("last"))
+    return last.select("record_id", "last.*")
+
+
 def area_nodes(records: DataFrame) -> DataFrame:
     """All areas of ``records`` once: record_id, level, area_path, parent_path, idx, text, raw_text.
 
-    A record delivered again gives its areas once, from the latest load (the
-    greatest values where loads are equal); rows with a null record_id stay
-    together under the null id.
+    Of a record delivered again only the last delivery counts, so that areas it no
+    longer has are gone; rows with a null record_id count as one record.
     """
     fields = {"idx": "idx", "text": "text", "raw_text": "raw_info.text"}
-    nodes = dewey_nodes(records, "sub_areas", fields, keep=["record_id", "loaded_at"])
-    key = ["record_id", "level", "area_path", "parent_path"]
-    last = nodes.groupBy(*key).agg(F.max(F.struct("loaded_at", *fields)).alias("last"))
-    return last.select(*key, *(F.col(f"last.{f}").alias(f) for f in fields))
+    return dewey_nodes(latest_records(records, ["sub_areas"]), "sub_areas", fields, keep=["record_id"])
 
 
 def area_table(records: DataFrame, level: int) -> DataFrame:
@@ -101,6 +104,5 @@ def area_table(records: DataFrame, level: int) -> DataFrame:
 def record_table(records: DataFrame) -> DataFrame:
     """One row a record: record_id, src_image_path, image_path, n_topics (non-null entries of the top level)."""
     n = F.size(F.filter(F.coalesce("sub_areas", F.array()), lambda x: x.isNotNull()))
-    rows = records.select("record_id", "loaded_at", "src_image_path", "image_path", n.alias("n_topics"))
-    last = rows.groupBy("record_id").agg(F.max(F.struct("loaded_at", "src_image_path", "image_path", "n_topics")).alias("x"))
-    return last.select("record_id", "x.src_image_path", "x.image_path", "x.n_topics")
+    last = latest_records(records, ["src_image_path", "image_path", "sub_areas"])
+    return last.select("record_id", "src_image_path", "image_path", n.alias("n_topics"))

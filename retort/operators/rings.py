@@ -27,15 +27,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from retort.operators.molecules import ATOM, BOND, BONDS, signature, without_self_bonds
+from retort.operators.isomorphism import TURNED, with_codes
+from retort.operators.molecules import ATOM, BOND, BONDS, without_self_bonds
+from retort.session import map_batches
 
 SUPER, BRANCH, END = "\\Superatom", "\\connbranch", "<ea>"
-TURNED = {">": "<", "<": ">", ">:": "<:", "<:": ">:", ">|": "<|", "<|": ">|"}
 _STEP = re.compile(rf"({'|'.join(map(re.escape, BONDS))})([@#]?)\[:(\d+)\]")
 SEQ = "array<struct<token:string,ring_branch:int,cond:int>>"
 _ATOM = pa.list_(pa.struct([("id", pa.int32()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64())]))
 _BOND = pa.list_(
-    pa.struct([("id", pa.int32()), ("type", pa.string()), ("angle", pa.float64()), ("src", pa.int32()), ("dst", pa.int32()), ("hook", pa.string())])
+    pa.struct([("id", pa.int32()), ("type", pa.string()), ("angle", pa.float64()), ("src", pa.int32()), ("dst", pa.int32()), ("hook", pa.string()), ("length", pa.float64())])
 )
 _SEQ = pa.list_(pa.struct([("token", pa.string()), ("ring_branch", pa.int32()), ("cond", pa.int32())]))
 
@@ -371,7 +372,7 @@ def decode(seq: list[dict]) -> tuple[list[dict], list[dict]]:
                     queue.append(to)
     atoms = [{"id": number[a], "text": texts[a], "x": round(where[a][0], 6) + 0.0, "y": round(where[a][1], 6) + 0.0} for a in kept]
     links = [
-        {"id": n, "type": kind, "angle": float(angle), "src": number[src], "dst": number[dst], "hook": None}
+        {"id": n, "type": kind, "angle": float(angle), "src": number[src], "dst": number[dst], "hook": None, "length": 1.0}
         for n, (kind, src, dst, angle) in enumerate(bonds.values())
     ]
     return atoms, links
@@ -393,12 +394,12 @@ def _each(df: DataFrame, keep: list[str], inputs: list[str], f: Callable, out: d
             arrays = [pa.array(c, t) for c, t in zip(made, [*(t for _, t in out.values()), pa.string()])]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *arrays], [*keep, *out, "error"])
 
-    return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, ", ".join(kinds))
+    return map_batches(df.select(*dict.fromkeys([*keep, *inputs])), run, ", ".join(kinds))
 
 
 def contract(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys, before (the signature of the molecule's graph), seq, n_super, error."""
-    rows = df.withColumns({"bonds": without_self_bonds()}).withColumn("before", signature())
+    """The keys, before (the digest of the molecule's graph), seq, n_super, error."""
+    rows = with_codes(df.withColumns({"bonds": without_self_bonds()}).select(*keys, "atoms", "bonds"), {"before": ("atoms", "bonds")})
     return _each(rows, [*keys, "before"], ["atoms", "bonds"], encode, {"seq": (SEQ, _SEQ), "n_super": ("int", pa.int32())})
 
 

@@ -107,7 +107,9 @@ def first_fit(items: DataFrame, buckets: DataFrame, grid: Grid, sizes: list[str]
 def batches(placed: DataFrame, buckets: DataFrame, id_col: str, parts: int = 32) -> DataFrame:
     """(id_col, bucket, batch_no, slot): items of each bucket in batches, in the order of (id mod parts, id)."""
     held = placed.filter(F.col("bucket").isNotNull()).select(id_col, "bucket")
-    numbered = number_rows(held, F.pmod(F.col(id_col), F.lit(parts)), [id_col], group=["bucket"])
+    # Stretches of ids below the remainder, so that a large bucket is numbered in as many parts as it needs.
+    part = F.struct(F.pmod(F.col(id_col), F.lit(parts)).alias("remainder"), F.floor(F.col(id_col) / F.lit(1 << 20)).alias("stretch"))
+    numbered = number_rows(held, part, [id_col], group=["bucket"])
     sized = numbered.join(buckets.select("bucket", "batch"), "bucket")
     return sized.select(id_col, "bucket", F.expr("number div batch").alias("batch_no"), F.expr("number % batch").alias("slot"))
 

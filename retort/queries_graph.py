@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retort.functions import text as fn
-from retort.operators import dedupe, molecules, rings
+from retort.operators import dedupe, evaluate, isomorphism, molecules, rings
 from retort.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 _NESTED = r"\\chemfig\s*\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 _BOND = r"(?:<:|>:|<\||>\||-:|=_|=\^|~/|[-=~<>])[@#]?"
-_TOKENS = rf"\?\[[^,\]]*(?:,[^\]]*)?\]|{_BOND}(?:\[[^\]]*\])?|branch\(|\(|branch\)|\)|\\?."
+_TOKENS = rf"\?\[[^,\]]*(?:,[^\]]*)?\]|{_BOND}(?:\[[^\]]*\])?|branch\(|\(|branch\)|\)|\{{(?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\}}|\\?."
 #: Tokens of the molecules with their depth; bonds with the place where their branch closes; hooks in pairs; molecules without error.
 MOLECULES = rf"""WITH whole AS (SELECT label_id, loaded_at, input_chemfig AS t FROM labels_tsv
     WHERE len(regexp_extract_all(input_chemfig, '\\chemfig\s*\{{')) = len(regexp_extract_all(input_chemfig, '{_NESTED}'))),
@@ -38,20 +38,21 @@ MOLECULES = rf"""WITH whole AS (SELECT label_id, loaded_at, input_chemfig AS t F
   k AS (SELECT m, unnest(range(len(x))) AS p, unnest(x) AS t FROM (SELECT m, regexp_extract_all(regexp_replace(markup, '\s+', '', 'g'), '{_TOKENS}') AS x FROM f)),
   kk AS (SELECT *, t IN ('(', 'branch(') AS opens, t IN (')', 'branch)') AS closes, regexp_matches(t, '^{_BOND}') AS bond, regexp_full_match(t, '\?\[[^,\]]*(?:,[^\]]*)?\]') AS hook FROM k),
   tok AS (SELECT *, sum(CASE WHEN opens THEN 1 WHEN closes THEN -1 ELSE 0 END) OVER (PARTITION BY m ORDER BY p) AS depth FROM kk),
-  b0 AS (SELECT m, p, t, depth, row_number() OVER (PARTITION BY m ORDER BY p) AS atom, regexp_extract(t, '\[([^\],]*)', 1) AS attr FROM tok WHERE bond),
+  b0 AS (SELECT m, p, t, depth, row_number() OVER (PARTITION BY m ORDER BY p) AS atom, regexp_extract(t, '\[([^\],]*)', 1) AS attr,
+    coalesce(TRY_CAST(nullif(regexp_extract(t, '\[[^\],]*,([^\],]*)', 1), '') AS DOUBLE), 1) AS len FROM tok WHERE bond),
   b1 AS (SELECT b0.*, (SELECT min(c.p) FROM tok c WHERE c.m = b0.m AND c.closes AND c.p > b0.p AND c.depth < b0.depth) AS until FROM b0),
-  b AS (SELECT m, p, t, atom, coalesce(until, 1000000000) AS until, attr,
+  b AS (SELECT m, p, t, atom, coalesce(until, 1000000000) AS until, attr, len,
     CASE WHEN prefix(attr, ':') THEN TRY_CAST(attr[2:] AS DOUBLE) WHEN attr = '' THEN 0 ELSE TRY_CAST(attr AS DOUBLE) * 45 END AS angle FROM b1),
-  h AS (SELECT *, row_number() OVER (PARTITION BY m, name ORDER BY p) AS nth, count(*) OVER (PARTITION BY m, name) AS times, lag(p) OVER (PARTITION BY m, name ORDER BY p) AS other
+  h AS (SELECT *, row_number() OVER (PARTITION BY m, name ORDER BY p) AS nth, count(*) OVER (PARTITION BY m, name) AS times, min(p) OVER (PARTITION BY m, name) AS other
     FROM (SELECT m, p, regexp_extract(t, '\?\[([^,\]]*)', 1) AS name, regexp_extract(t, ',([^\]]*)\]', 1) AS kind FROM tok WHERE hook)),
-  bad AS (SELECT m FROM tok GROUP BY m HAVING min(depth) < 0 OR arg_max(depth, p) <> 0 UNION SELECT m FROM h WHERE times % 2 = 1 OR (nth % 2 = 1 AND kind <> '')
+  bad AS (SELECT m FROM tok GROUP BY m HAVING min(depth) < 0 OR arg_max(depth, p) <> 0 UNION SELECT m FROM h WHERE times = 1 OR (nth = 1 AND kind <> '')
     UNION SELECT m FROM b WHERE angle IS NULL),
   mol AS (SELECT * FROM f WHERE m NOT IN (SELECT m FROM bad)),
   atom AS (SELECT m, CAST(0 AS BIGINT) AS atom, CAST(-1 AS BIGINT) AS p FROM mol WHERE m IN (SELECT m FROM tok) UNION ALL SELECT m, atom, p FROM b WHERE m IN (SELECT m FROM mol)),
-  up AS (SELECT a.m, a.atom, b.atom AS above, b.angle FROM atom a JOIN b ON a.m = b.m AND b.p <= a.p AND a.p < b.until),
-  coords AS (SELECT atom.m, atom.atom, coalesce(sum(cos(radians(angle))), 0) AS x, coalesce(sum(sin(radians(angle))), 0) AS y FROM atom LEFT JOIN up ON atom.m = up.m AND atom.atom = up.atom GROUP BY ALL),
+  up AS (SELECT a.m, a.atom, b.atom AS above, b.angle, b.len FROM atom a JOIN b ON a.m = b.m AND b.p <= a.p AND a.p < b.until),
+  coords AS (SELECT atom.m, atom.atom, coalesce(sum(len * cos(radians(angle))), 0) AS x, coalesce(sum(len * sin(radians(angle))), 0) AS y FROM atom LEFT JOIN up ON atom.m = up.m AND atom.atom = up.atom GROUP BY ALL),
   ends AS (SELECT h.m, h.p, h.kind, (SELECT coalesce(max(b.atom), 0) FROM b WHERE b.m = h.m AND b.p < h.p AND h.p < b.until) AS a,
-    (SELECT coalesce(max(b.atom), 0) FROM b WHERE b.m = h.m AND b.p < h.other AND h.other < b.until) AS o FROM h WHERE nth % 2 = 0 AND m IN (SELECT m FROM mol)),
+    (SELECT coalesce(max(b.atom), 0) FROM b WHERE b.m = h.m AND b.p < h.other AND h.other < b.until) AS o FROM h WHERE nth > 1 AND m IN (SELECT m FROM mol)),
   link AS (SELECT b.m, b.p, coalesce((SELECT max(q.atom) FROM b q WHERE q.m = b.m AND q.p < b.p AND b.p < q.until), 0) AS src, b.atom AS dst FROM b WHERE b.m IN (SELECT m FROM mol)
     UNION ALL SELECT m, p, o, a FROM ends) """
 _RINGS = """, way AS (SELECT m, atom, above FROM up UNION ALL SELECT m, atom, 0 FROM atom),
@@ -154,10 +155,11 @@ def dominant_length(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ring_contract_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Every molecule encoded without rings and decoded again; ``same`` says that both graphs have one signature, null where ``error`` says why there is none."""
+    """Every molecule encoded without rings and decoded again; ``same`` says that both graphs are equal, null where ``error`` says why there is none."""
     coded = rings.contract(_sound(spark, d), KEYS)
     back = rings.expand(coded.select(*KEYS, "seq", "n_super", "before", F.col("error").alias("why")), [*KEYS, "seq", "n_super", "before", "why"])
-    same = F.when(F.coalesce("why", "error").isNull(), molecules.signature() == F.col("before"))
+    back = isomorphism.with_codes(back, {"after": ("atoms", "bonds")})
+    same = F.when(F.coalesce("why", "error").isNull(), F.col("after") == F.col("before"))
     return back.select(*KEYS, F.size("seq").alias("n_tokens"), "n_super", same.alias("same"), F.coalesce("why", "error").alias("error"))
 
 
@@ -178,26 +180,88 @@ def _by_name(spark: SparkSession, d: str) -> DataFrame:
     return spread(rows.select(fn.base_name(F.col("file_path")).alias("base_name"), "input_chemfig", "loaded_at", "label_id"))
 
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b) & a.isNotNull()
+def same_graphs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``equal``: whether molecules a and b (markup_x, sig_x, atoms_x, bonds_x) are one graph; false where either is missing or unparsed.
+
+    Equal markup is equal and unequal signatures aren't; only what is left is compared atom by atom.
+    """
+    sound = F.col("atoms_a").isNotNull() & F.col("atoms_b").isNotNull()
+    written = sound & (F.col("markup_a") == F.col("markup_b"))
+    open_ = sound & ~written & (F.col("sig_a") == F.col("sig_b"))
+    only = {f"_{c}_{x}": F.when(open_, F.col(f"{c}_{x}")) for c in ("atoms", "bonds") for x in "ab"}
+    kept = pairs.withColumn("_written", written).withColumns(only).drop("atoms_a", "bonds_a", "atoms_b", "bonds_b")
+    coded = isomorphism.with_codes(kept, {"_code_a": ("_atoms_a", "_bonds_a"), "_code_b": ("_atoms_b", "_bonds_b")})
+    equal = F.coalesce(F.col("_written") | (F.col("_code_a") == F.col("_code_b")), F.col("_written"), F.lit(False))
+    return coded.withColumn("equal", equal).drop("_written", "_code_a", "_code_b", *only)
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each file name's first label, which serves as the label, and its last, which serves as the hypothesis."""
+    labels = _by_name(spark, d)
+    return dedupe.first_wins(labels, ["base_name"], ["loaded_at", "label_id"]), dedupe.last_wins(labels, ["base_name"], ["loaded_at", "label_id"])
+
+
+def _structures(spark: SparkSession, d: str) -> DataFrame:
+    """base_name, n_label, n_correct, n_extra of the names with molecules."""
+
+    def side(labels: DataFrame, x: str) -> DataFrame:
+        made = molecules.fragments(labels, ["base_name"], "input_chemfig").filter(F.col("error").isNotNull() | molecules.flat_text().isNull())
+        return made.select(
+            "base_name", "frag", fn.squeeze(F.col("markup")).alias(f"markup_{x}"), molecules.signature().alias(f"sig_{x}"),
+            F.col("atoms").alias(f"atoms_{x}"), F.col("bonds").alias(f"bonds_{x}"), F.lit(True).alias(f"has_{x}"),
+        )
+
+    first, last = _sides(spark, d)
+    both = same_graphs(side(first, "a").join(side(last, "b"), ["base_name", "frag"], "full_outer"))
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    return both.groupBy("base_name").agg(
+        n(F.col("has_a")).alias("n_label"), n(F.col("equal")).alias("n_correct"), n(F.col("has_b") & F.col("has_a").isNull()).alias("n_extra")
+    )
 
 
 @query()
 def struct_eval(spark: SparkSession, d: str) -> DataFrame:
     """The molecules of each file name's last label against those of its first: n_label, n_correct, n_extra, and whether all agree.
 
-    Molecules pair by their place in the text; straight chains count as text, not as molecules.
+    Molecules pair by their place in the text and are compared exactly; straight chains count as text, not as molecules.
     """
-    labels = _by_name(spark, d)
-    side = lambda pick, x: molecules.fragments(pick(labels, ["base_name"], ["loaded_at", "label_id"]), ["base_name"], "input_chemfig").filter(
-        F.col("error").isNotNull() | molecules.flat_text().isNull()
-    ).select("base_name", "frag", molecules.signature().alias(f"sig_{x}"), F.lit(True).alias(f"has_{x}"))
-    both = side(dedupe.first_wins, "a").join(side(dedupe.last_wins, "b"), ["base_name", "frag"], "full_outer")
-    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
-    counts = both.groupBy("base_name").agg(
-        n(F.col("has_a")).alias("n_label"), n(_same(F.col("sig_a"), F.col("sig_b"))).alias("n_correct"), n(F.col("has_b") & F.col("has_a").isNull()).alias("n_extra")
-    )
-    return counts.withColumn("same", (F.col("n_correct") == F.col("n_label")) & (F.col("n_extra") == 0))
+    return _structures(spark, d).withColumn("same", (F.col("n_correct") == F.col("n_label")) & (F.col("n_extra") == 0))
+
+
+@query()
+def metric_table(spark: SparkSession, d: str) -> DataFrame:
+    """The seven metrics of each file name's last label (the hypothesis) against its first (the label).
+
+    ``base`` counts edits of tokens; ``struct`` names whose molecules all agree,
+    ``struct.single`` molecules, ``struct.line`` names whose text around them agrees
+    too; the ``ref`` ones do so for the names that occur in ``cs_log``.  Labels
+    without molecules agree in structure.
+    """
+
+    def side(labels: DataFrame, x: str) -> DataFrame:
+        around = molecules.fragments(labels, ["base_name"], "input_chemfig").groupBy("base_name").agg(
+            F.max("rest").alias("rest"), F.array_sort(F.collect_list(F.struct("frag", molecules.flat_text().alias("flat")))).alias("flats")
+        )
+        text = fn.squeeze(F.col("input_chemfig"))
+        whole = labels.join(around, "base_name", "left").select("base_name", text.alias(f"text_{x}"), fn.markup_tokens(F.col("input_chemfig")).alias(f"tokens_{x}"),
+            F.to_json(F.struct(F.coalesce(fn.squeeze(F.col("rest")), text), "flats")).alias(f"around_{x}"))
+        return whole
+
+    first, last = _sides(spark, d)
+    known = first.filter("input_chemfig IS NOT NULL")
+    ref = table(spark, d, "cs_log").filter("file_path IS NOT NULL").select(fn.base_name(F.col("file_path")).alias("base_name"), F.lit(1).alias("ref")).distinct()
+    rows = side(known, "a").join(side(last, "b"), "base_name").join(_structures(spark, d), "base_name", "left").join(ref, "base_name", "left")
+    scored = evaluate.edit_counts(rows.na.fill(0, ["n_label", "n_correct", "n_extra"]), "tokens_a", "tokens_b")
+    same = (F.col("n_correct") == F.col("n_label")) & (F.col("n_extra") == 0)
+    line = same & F.coalesce(F.col("around_a") == F.col("around_b"), F.lit(False))
+    exact = (F.col("n_del") + F.col("n_sub") + F.col("n_ins")) == 0
+    one, ref = F.lit(1), F.col("ref")
+    single = lambda on: {"sent_n": F.when(on == 1, F.col("n_label")), "sent_correct": F.col("n_correct"), "n": one}
+    return evaluate.metric_table(scored, {
+        "base": {"sent_n": one, "sent_correct": exact, "d": F.col("n_del"), "s": F.col("n_sub"), "i": F.col("n_ins"), "n": F.size("tokens_a")},
+        "struct": {"sent_n": one, "sent_correct": same, "n": one}, "struct.single": single(one), "struct.line": {"sent_n": one, "sent_correct": line, "n": one},
+        "struct.ref": {"sent_n": ref, "sent_correct": same, "n": one}, "struct.ref.single": single(ref), "struct.ref.line": {"sent_n": ref, "sent_correct": line, "n": one},
+    })
 
 
 @query()

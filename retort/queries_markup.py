@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from retort.functions import latex
 from retort.functions import text as fn
-from retort.operators import dedupe, evaluate, molecules, nested, vocab
+from retort.operators import dedupe, evaluate, isomorphism, molecules, nested, vocab
 from retort.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,17 +248,21 @@ def parts_union(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("status").agg(F.count("*").alias("n"))
 
 
-_RAW = _AREAS + r""", e AS (SELECT record_id, i || '-' || j || '-' || k AS area_path, x.raw_info.text AS label, x.text AS hyp FROM n
-  WHERE x.text IS NOT NULL AND x.raw_info.text IS NOT NULL AND regexp_full_match(x.text || x.raw_info.text, '[ -~\s]*')) """
+#: Characters beyond ASCII of a pair (``u``) take the place of unused control characters, so that DuckDB, which counts bytes, counts characters.
+_CONTROLS = " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 28)])
+_OTHERS = "array_to_string(list_distinct(list_filter(string_split(label || hyp, ''), lambda c: unicode(c) > 127)), '') AS u"
+_DISTANCE = f"levenshtein(translate(label, u, {_CONTROLS}), translate(hyp, u, {_CONTROLS}))"
+_RAW = _AREAS + f""", e AS (SELECT *, {_OTHERS} FROM (SELECT record_id, i || '-' || j || '-' || k AS area_path, x.raw_info.text AS label, x.text AS hyp FROM n
+  WHERE x.text IS NOT NULL AND x.raw_info.text IS NOT NULL)) """
 
 
 def _line_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with both a text and a raw text. The SQL leaves out lines that are not all ASCII, as DuckDB counts bytes."""
+    """Lines with both a text and a raw text."""
     lines = nested.area_table(table(spark, d, "records"), 3).filter("text IS NOT NULL AND raw_text IS NOT NULL")
     return lines.select("record_id", "area_path", F.col("raw_text").alias("label"), F.col("text").alias("hyp"))
 
 
-@query(_RAW + "SELECT record_id, area_path, CAST(levenshtein(label, hyp) AS INTEGER) AS dist FROM e")
+@query(_RAW + f"SELECT record_id, area_path, CAST({_DISTANCE} AS INTEGER) AS dist FROM e")
 def edit_distance(spark: SparkSession, d: str) -> DataFrame:
     return _line_pairs(spark, d).select("record_id", "area_path", F.levenshtein("label", "hyp").alias("dist"))
 
@@ -269,21 +273,19 @@ def edit_ops_dsi(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.edit_counts(pairs.select("record_id", "area_path", "a", "b"), "a", "b").drop("a", "b")
 
 
-_HYPS = r"""WITH h AS (SELECT c.cs_id AS k, l.label_id AS j, regexp_replace(l.input_chemfig, '\s+', '', 'g') AS label, regexp_replace(c.cs_string, '\s+', '', 'g') AS hyp
-  FROM (SELECT cs_id, max(file_path) AS file_path, max(cs_string) AS cs_string FROM cs_log GROUP BY cs_id) c
-  JOIN (SELECT DISTINCT file_path, label_id, input_chemfig FROM labels_tsv) l ON c.file_path = l.file_path
-  WHERE regexp_full_match(l.input_chemfig || c.cs_string, '[ -~\s]*')),
-b AS (SELECT k AS cs_id, min({'d': levenshtein(label, hyp), 'j': j, 'n': length(label)}) AS x FROM h GROUP BY k),
+_HYPS = r"""WITH c AS (SELECT cs_id, x.f AS file_path, x.s AS cs_string FROM (SELECT cs_id, max({'l': loaded_at, 'f': file_path, 's': cs_string}) AS x FROM cs_log GROUP BY cs_id)),
+h AS (SELECT *, """ + _OTHERS + r""" FROM (SELECT c.cs_id AS k, l.label_id AS j, regexp_replace(l.input_chemfig, '\s+', '', 'g') AS label, regexp_replace(c.cs_string, '\s+', '', 'g') AS hyp
+  FROM c JOIN (SELECT DISTINCT file_path, label_id, input_chemfig FROM labels_tsv) l ON c.file_path = l.file_path WHERE l.input_chemfig IS NOT NULL AND c.cs_string IS NOT NULL)),
+b AS (SELECT k AS cs_id, min({'d': """ + _DISTANCE + """, 'j': j, 'n': length(label)}) AS x FROM h GROUP BY k),
 best AS (SELECT cs_id, x.j AS best, CAST(x.d AS INTEGER) AS dist, CAST(x.n AS INTEGER) AS n FROM b) """
 
 
 def _best(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
-    """Of all labels of a sequence's file, the one nearest to the sequence. The SQL leaves out pairs that are not all ASCII, as DuckDB counts bytes."""
-    hyps = table(spark, d, "cs_log").groupBy("cs_id").agg(F.max("file_path").alias("file_path"), F.max("cs_string").alias("cs_string"))
-    labels = _labels(spark, d).select("file_path", "label_id", "input_chemfig").distinct()
-    pairs = hyps.join(labels, "file_path").filter("input_chemfig IS NOT NULL AND cs_string IS NOT NULL")
-    pairs = pairs.select("cs_id", "label_id", fn.squeeze(F.col("input_chemfig")).alias("label"), fn.squeeze(F.col("cs_string")).alias("hyp"))
-    return evaluate.best_hypothesis(pairs, ["cs_id"], "label", "hyp", "label_id", texts)
+    """Of all labels of a sequence's file, the one nearest to the sequence (its last delivery); equal labels of a file are compared once."""
+    last = dedupe.last_wins(table(spark, d, "cs_log").select("cs_id", "loaded_at", "file_path", "cs_string"), ["cs_id"], ["loaded_at", "file_path", "cs_string"])
+    hyps = last.filter("cs_string IS NOT NULL").select("cs_id", "file_path", fn.squeeze(F.col("cs_string")).alias("hyp"))
+    labels = _labels(spark, d).filter("input_chemfig IS NOT NULL").groupBy("file_path", fn.squeeze(F.col("input_chemfig")).alias("label")).agg(F.min("label_id").alias("label_id"))
+    return evaluate.best_hypothesis(hyps.join(labels, "file_path"), ["cs_id"], "label", "hyp", "label_id", texts)
 
 
 @query(_HYPS + "SELECT cs_id, best, dist, n FROM best")
@@ -291,19 +293,12 @@ def best_hypothesis(spark: SparkSession, d: str) -> DataFrame:
     return _best(spark, d)
 
 
-@query(_HYPS + """, m AS (SELECT 'base' AS metric, CAST(dist = 0 AS BIGINT) AS ok, CAST(dist AS BIGINT) AS s, CAST(n AS BIGINT) AS n FROM best
-    UNION ALL SELECT 'near', CAST(dist * 2 <= n AS BIGINT), 0, 1 FROM best UNION ALL SELECT 'empty', 0, 0, 0 FROM best),
-  g AS (SELECT metric, count(*) AS sent_n, CAST(sum(ok) AS BIGINT) AS sent_correct, CAST(0 AS BIGINT) AS d, CAST(sum(s) AS BIGINT) AS s, CAST(0 AS BIGINT) AS i, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY metric)
-  SELECT *, round((n - d - s - i) / CASE WHEN n = 0 THEN 1e-10 ELSE CAST(n AS DOUBLE) END, 6) AS wacc, round((n - d - s) / CASE WHEN n = 0 THEN 1e-10 ELSE CAST(n AS DOUBLE) END, 6) AS wcor,
-    round(sent_correct / CAST(sent_n AS DOUBLE), 6) AS sacc FROM g""")
-def metric_table(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by characters; d, s, i are those of one shortest edit script. The SQL counts every edit as replaced."""
-    dist, n, zero = F.col("dist"), F.col("n"), F.lit(0)
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    best = _best(spark, d, texts=True).select("dist", "n", chars("label").alias("a"), chars("hyp").alias("b"))
-    return evaluate.metric_table(evaluate.edit_counts(best, "a", "b"), {
-        "base": (dist == 0, F.col("n_del"), F.col("n_sub"), F.col("n_ins"), n), "near": (dist * 2 <= n, zero, zero, zero, F.lit(1)), "empty": (zero, zero, zero, zero, zero),
-    })
+@query(_HYPS + """SELECT count(*) AS sent_n, CAST(sum(CAST(dist = 0 AS BIGINT)) AS BIGINT) AS sent_correct, CAST(sum(dist) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS n,
+  round((sum(n) - sum(dist)) / CASE WHEN sum(n) = 0 THEN 1e-10 ELSE CAST(sum(n) AS DOUBLE) END, 6) AS wacc, round(sum(CAST(dist = 0 AS BIGINT)) / CAST(count(*) AS DOUBLE), 6) AS sacc FROM best""")
+def metric_base(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences against their nearest label, by characters."""
+    counted = evaluate.metric_table(_best(spark, d), {"base": {"sent_n": F.lit(1), "sent_correct": F.col("dist") == 0, "s": F.col("dist"), "n": F.col("n")}})
+    return counted.select("sent_n", "sent_correct", F.col("s").alias("edits"), "n", "wacc", "sacc")
 
 
 def _molecules(spark: SparkSession, d: str) -> DataFrame:
@@ -327,17 +322,28 @@ def mol_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mol_isomorphism(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the classes of molecules that share a graph, with how many ways of writing each has."""
-    marked = _molecules(spark, d).filter("error IS NULL").select(molecules.signature().alias("signature"), F.xxhash64(fn.squeeze(F.col("markup"))).alias("written"))
-    return marked.groupBy("signature").agg(F.count("*").alias("n"), F.count_distinct("written").alias("n_written"))
+    """Sizes of the classes of molecules that are one graph, with how many ways of writing each has.
+
+    Ways of writing are counted first; only those whose signature others share are compared atom by atom.
+    """
+    written = _molecules(spark, d).filter("error IS NULL").groupBy(fn.squeeze(F.col("markup")).alias("markup")).agg(
+        F.count("*").alias("n"), F.any_value("atoms").alias("atoms"), F.any_value("bonds").alias("bonds")
+    )
+    marked = written.withColumn("signature", molecules.signature())
+    shared = marked.groupBy("signature").agg(F.count("*").alias("ways"))
+    both = marked.join(shared, "signature")
+    only = {f"_{c}": F.when(F.col("ways") > 1, F.col(c)) for c in ("atoms", "bonds")}
+    coded = isomorphism.with_codes(both.select("signature", "n", *(c.alias(k) for k, c in only.items())), {"code": ("_atoms", "_bonds")})
+    return coded.groupBy("signature", "code").agg(F.sum("n").alias("n"), F.count("*").alias("n_written"))
 
 
 def _quoted(word: str) -> str:
     return "'" + word.replace("'", "''") + "'"
 
 
-_IGNORED = ", ".join(map(_quoted, latex.IGNORED))
-_EXPANDED = ", ".join(f"({_quoted(w)}, [{', '.join(map(_quoted, out))}])" for w, out in latex.expansions().items())
+_DROPPED, _MADE = latex.FONTS + latex.SIZES, latex.SPACES | latex.LETTERS | latex.SYNONYMS
+_IGNORED = ", ".join(map(_quoted, _DROPPED))
+_EXPANDED = ", ".join(f"({_quoted(w)}, [{', '.join(map(_quoted, out))}])" for w, out in _MADE.items())
 
 
 @query(
@@ -348,7 +354,7 @@ _EXPANDED = ", ".join(f"({_quoted(w)}, [{', '.join(map(_quoted, out))}])" for w,
   WHERE t NOT IN ({_IGNORED}) GROUP BY label_id, loaded_at""")
 def latex_tokens(spark: SparkSession, d: str) -> DataFrame:
     items = fn.markup_tokens(F.col("input_chemfig"))
-    rows = _labels(spark, d).select("label_id", "loaded_at", F.array_join(latex.canonical_tokens(items), " ").alias("canonical"))
+    rows = _labels(spark, d).select("label_id", "loaded_at", F.array_join(latex.canonical_tokens(items, _MADE, _DROPPED), " ").alias("canonical"))
     return rows.filter("canonical <> ''")
 
 

@@ -118,7 +118,7 @@ _NUMBERED = "WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderke
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey")
-    numbered = number_rows(orders, F.expr("o_orderkey div 4096"), ["o_orderkey"])
+    numbered = number_rows(orders, F.expr("o_orderkey div 4096"), ["o_orderkey"], block=F.expr("_part div 4096"))
     total = orders.agg(F.count("*").alias("total"))
     return numbered.join(F.broadcast(total))  # one row
 

@@ -34,13 +34,16 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a temporary folder is taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where
+    that is unset, a temporary folder is taken in local mode (tests on one
+    machine) only; on a cluster it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="retort-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -4,7 +4,8 @@ A line is read under an explicit schema in permissive mode; the raw text of a
 line that doesn't fit is retained.  Lines that the reader reports, and all that
 hold a quote or a control character (where readers differ), are then classified
 again by exact checks of quoting, number of columns and values.  Reasons, first
-that applies: ``quoting``, ``columns``, ``value``.  A null line, and a line of an
+that applies: ``quoting``, ``columns``, ``value``.  A line of more columns than
+the reader takes goes to the checks without it.  A null line, and a line of an
 unknown or null feed, is ``columns``; an empty line is ``columns``.
 """
 
@@ -88,12 +89,18 @@ def rejected_lines(df: DataFrame) -> DataFrame:
 
 
 def valid_lines(df: DataFrame) -> DataFrame:
-    """Typed rows of the valid lines: the key in its parts, the texts, and the markup of feed ``label``."""
+    """Typed rows of the valid lines: the key in its parts, the texts, and the markup of feed ``label``.
+
+    A number of the key beyond BIGINT is valid by the rules, but has no typed
+    value: it is null, ``numbers_fit`` is false, and ``img_key`` keeps it.
+    """
     good = read_lines(df).filter(F.col("reason").isNull())
     key = F.get("fields", F.lit(0))
     part = lambda i: F.regexp_extract(key, r"(?s)^(.*)-([0-9]+)-([0-9]+)-([0-9]+)\z", i)
-    return good.select(
-        "line_id", "feed", key.alias("img_key"), part(1).alias("image_name"),
-        *(part(i).try_cast("bigint").alias(n) for i, n in ((2, "topic_no"), (3, "column_no"), (4, "line_no_in_column"))),
+    numbers = ["topic_no", "column_no", "line_no_in_column"]
+    rows = good.select(
+        "line_id", "feed", key.alias("img_key"), part(1).alias("image_name"), *(part(i).try_cast("bigint").alias(n) for i, n in enumerate(numbers, 2)),
         F.get("fields", F.lit(1)).alias("in_text"), F.get("fields", F.lit(2)).alias("input_chemfig"),
     )
+    fit = F.col(numbers[0]).isNotNull() & F.col(numbers[1]).isNotNull() & F.col(numbers[2]).isNotNull()
+    return rows.withColumn("numbers_fit", fit)

@@ -103,7 +103,8 @@ def test_canonical_tokens(spark):
     from retort.functions import latex
 
     a = F.col("a")
-    assert one(spark, latex.canonical_tokens(a), items=["\\sin", "\\rm", "x", "\\nleq", "%", "\\;"]) == ["s", "i", "n", "x", "\\not", "\\leq", "\\%", "\\space"]
-    assert one(spark, latex.canonical_tokens(a)) is None
+    made, dropped = latex.LETTERS | latex.SPACES | latex.SYNONYMS, latex.FONTS
+    assert one(spark, latex.canonical_tokens(a, made, dropped), items=["\\sin", "\\rm", "x", "\\leq", "\\;"]) == ["s", "i", "n", "x", "\\le", "\\space"]
+    assert one(spark, latex.canonical_tokens(a, made, dropped)) is None
     assert one(spark, latex.canonical_tokens(a, {}, []), items=["\\rm"]) == ["\\rm"]
     assert one(spark, latex.without_angle_tokens(a), items=["[:30]", "-[:0]", "\\:", "?[a,{=}]"]) == ["-", ":", "?[a,{=}]"]

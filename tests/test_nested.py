@@ -23,3 +23,13 @@ def test_paths_nulls_repeats_and_empty(spark):
     assert area_table(df, 3).count() == 4
     assert sorted((r.record_id or 0, r.n_topics) for r in record_table(df).collect()) == [(0, 1), (1, 2), (2, 0), (3, 0), (4, 0)]
     assert area_nodes(df.limit(0)).count() == 0
+
+
+def test_areas_of_older_deliveries_are_gone(spark):
+    import datetime as dt
+
+    old, new = [("0", "x", None, None), ("1", "y", None, None)], [("0", "z", None, [])]
+    rows = [(1, None, None, old, dt.datetime(2024, 1, 1), None), (1, None, None, new, dt.datetime(2024, 2, 1), None), (2, None, None, old, dt.datetime(2024, 1, 1), None), (2, None, None, None, dt.datetime(2024, 2, 1), None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [(r.record_id, r.area_path, r.text) for r in area_nodes(df).collect()] == [(1, "0", "z")]
+    assert sorted((r.record_id, r.n_topics) for r in record_table(df).collect()) == [(1, 1), (2, 0)]

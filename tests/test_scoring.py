@@ -4,6 +4,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from retort import queries_graph, queries_markup  # noqa: E402
+from retort.operators import evaluate  # noqa: E402
 
 
 def edits(a, b):
@@ -68,12 +69,33 @@ def test_all_molecules_of_a_label_get_seeds(spark, tmp_path):
     assert got["f1", 1, 0] == (0.0, 0, 0) and got["f1", 1, 1][1:] == (0, 1) and ("f1", 1, 2) not in got
 
 
-def test_metric_table_counts_deleted_and_inserted_characters(spark, tmp_path):
-    folder = tables(spark, tmp_path)
-    base = {r.metric: r for r in queries_markup.metric_table(spark, folder).collect()}["base"]
+def test_metric_base_counts_characters(spark, tmp_path):
     want = nearest()
-    label, hyp = {j: t for j, _, t in LABELS}, {k: t for k, _, t in HYPS}
-    longer = sum(len(label[j].replace(" ", "")) - len(hyp[k].replace(" ", "")) for k, (j, _, _) in want.items())
-    assert (base.sent_n, base.sent_correct, base.n) == (3, 0, sum(n for _, _, n in want.values()))
-    assert base.d + base.s + base.i == sum(dist for _, dist, _ in want.values()) and base.d - base.i == longer != 0
-    assert base.wcor == round((base.n - base.d - base.s) / base.n, 6)
+    got = queries_markup.metric_base(spark, tables(spark, tmp_path)).first()
+    assert (got.sent_n, got.sent_correct, got.n) == (3, 0, sum(n for _, _, n in want.values()))
+    assert got.edits == sum(dist for _, dist, _ in want.values())
+
+
+def test_edit_counts_are_shortest(spark):
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        d, s, i = evaluate.count_edits(a, b)
+        assert d + s + i == edits(a, b) and len(a) - d + i == len(b)
+
+
+def test_seven_metrics(spark, tmp_path):
+    mol = lambda x: "\\chemfig{" + x + "}"
+    ring = "C?[a]-[:0]C-[:60]C(-[:120]O?[a,{-}])"
+    rows = [
+        (1, "x/f1.png", mol("C-[:30]O") + " a", "2024-01-01"), (2, "x/f1.png", mol("C-[:30]O") + " b", "2024-01-02"),  # text differs
+        (3, "x/f2.png", mol(ring) + mol("N-[:90]C"), "2024-01-01"), (4, "x/f2.png", mol(ring) + mol("N=[:90]C"), "2024-01-02"),  # one molecule of two
+        (5, "x/f3.png", mol("C-[:30]O"), "2024-01-01"), (6, "x/f3.png", mol("O-[:210]C"), "2024-01-02"),  # one graph, written from its other end
+        (7, "x/f4.png", "plain", "2024-01-01"), (8, "x/f5.png", None, "2024-01-01"), (9, None, mol("C"), "2024-01-01"),
+    ]
+    spark.createDataFrame(rows, "label_id bigint, file_path string, input_chemfig string, loaded_at string").write.parquet(f"{tmp_path}/labels_tsv.parquet")
+    spark.createDataFrame([(1, "y/f2.png"), (2, "y/f2.png"), (3, "y/f3.jpg"), (4, None)], "cs_id bigint, file_path string").write.parquet(f"{tmp_path}/cs_log.parquet")
+    got = {r.metric: (r.sent_n, r.sent_correct) for r in queries_graph.metric_table(spark, str(tmp_path)).collect()}
+    assert got == {"base": (4, 1), "struct": (4, 3), "struct.single": (4, 3), "struct.line": (4, 2), "struct.ref": (2, 1), "struct.ref.single": (3, 2), "struct.ref.line": (2, 1)}
