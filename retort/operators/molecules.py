@@ -38,8 +38,16 @@ ATOM = "struct<id:int,text:string,x:double,y:double>"
 BOND = "struct<id:int,type:string,angle:double,src:int,dst:int,hook:string,length:double>"
 
 
+def place_holder(n: int) -> str:
+    """``\\chema``, ``\\chemb``, …, ``\\chemz``, ``\\chemaa``, … for molecules counted from 0."""
+    name = ""
+    while n >= 0:
+        name, n = chr(97 + n % 26) + name, n // 26 - 1
+    return "\\chem" + name
+
+
 def split_fragments(text: str) -> tuple[str, list[str]]:
-    """The text with each molecule replaced by a place holder ``\\chema``, ``\\chemb``, …, and the molecules' inner markup.
+    """The text with each molecule replaced by a place holder (``place_holder``) between blanks, and the molecules' inner markup.
 
     Raises ValueError where a molecule's brackets don't close.
     """
@@ -53,12 +61,7 @@ def split_fragments(text: str) -> tuple[str, list[str]]:
             i += 1
         if depth:
             raise ValueError("brackets of a molecule don't close")
-        n, name = len(found), ""
-        while True:
-            name, n = chr(97 + n % 26) + name, n // 26 - 1
-            if n < 0:
-                break
-        out += [text[at : m.start()], "\\chem", name]
+        out += [text[at : m.start()], " ", place_holder(len(found)), " "]
         found.append(text[m.end() : i - 1])
         at = i
     return "".join([*out, text[at:]]), found
@@ -222,24 +225,24 @@ def parse_fragment(markup: str) -> tuple[list[dict], list[dict]]:
 
 
 def fragments(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """The keys, frag from 0, rest (the text with place holders), markup, atoms, bonds, error: a row for each molecule."""
+    """The keys, frag from 0, name (its place holder), rest (the text with place holders), markup, atoms, bonds, error: a row for each molecule."""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, frag int, rest string, markup string, atoms array<{ATOM}>, bonds array<{BOND}>, error string"
+    schema = f"{kinds}, frag int, name string, rest string, markup string, atoms array<{ATOM}>, bonds array<{BOND}>, error string"
     atom = pa.struct([("id", pa.int32()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64())])
     bond = pa.struct([("id", pa.int32()), ("type", pa.string()), ("angle", pa.float64()), ("src", pa.int32()), ("dst", pa.int32()), ("hook", pa.string()), ("length", pa.float64())])
-    types = [pa.int32(), pa.string(), pa.string(), pa.list_(atom), pa.list_(bond), pa.string()]
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(atom), pa.list_(bond), pa.string()]
 
     def of(text: str | None) -> Iterator[tuple]:
         try:
             rest, found = split_fragments(text or "")
         except ValueError as e:
-            yield 0, None, text, None, None, str(e)
+            yield 0, None, None, text, None, None, str(e)
             return
         for i, markup in enumerate(found):
             try:
-                yield i, rest, markup, *parse_fragment(markup), None
+                yield i, place_holder(i), rest, markup, *parse_fragment(markup), None
             except ValueError as e:
-                yield i, rest, markup, None, None, str(e)
+                yield i, place_holder(i), rest, markup, None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,8 +251,8 @@ def fragments(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
                 made = list(of(text))
                 rows += made
                 owner += [i] * len(made)
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)]
-            names = [*keys, "frag", "rest", "markup", "atoms", "bonds", "error"]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)]
+            names = [*keys, "frag", "name", "rest", "markup", "atoms", "bonds", "error"]
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(owner, pa.int64())) for k in keys), *columns], names)
 
     return map_batches(df.select(*dict.fromkeys([*keys, text_col])), run, schema)
@@ -280,20 +283,24 @@ def reach(start: Column | None = None) -> Column:
     return F.array_sort(F.aggregate("atoms", start_state, again)["seen"])
 
 
-def merged_into(near: float = 0.01) -> Column:
-    """Array of (id, to): for each atom the first atom, in order, that lies within ``near`` of it (itself where none does)."""
+def merged_into(near: float = 0.01, texts_apart: bool = False) -> Column:
+    """Array of (id, to): for each atom the first atom, in order, that lies within ``near`` of it (itself where none does).
+
+    With ``texts_apart`` two atoms that both have a text stay apart.
+    """
     close = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]) < near * near
-    first = lambda a: F.get(F.filter("atoms", lambda b: (b["id"] <= a["id"]) & close(a, b)), F.lit(0))["id"]
+    fits = lambda a, b: close(a, b) & ((a["id"] == b["id"]) | (a["text"] == "") | (b["text"] == "")) if texts_apart else close(a, b)
+    first = lambda a: F.get(F.filter("atoms", lambda b: (b["id"] <= a["id"]) & fits(a, b)), F.lit(0))["id"]
     return F.transform("atoms", lambda a: F.struct(a["id"].alias("id"), first(a).alias("to")))
 
 
 def merge_atoms(df: DataFrame, near: float = 0.01) -> DataFrame:
-    """Molecules whose coincident atoms are one: the first atom stays, with its own text or else the first text merged into it.
+    """Molecules whose coincident atoms are one: the first atom stays, with its own text or else the one merged into it; atoms with a text each stay apart.
 
     Bonds follow their atoms; bonds within one atom go, and of several bonds
     between two atoms the strongest stays.  Atoms keep their ids.
     """
-    to = df.withColumn("_to", molecule_map(merged_into(near)))
+    to = df.withColumn("_to", molecule_map(merged_into(near, texts_apart=True)))
     own = lambda a: F.filter("atoms", lambda b: (F.get("_to", b["id"]) == a["id"]) & (b["text"] != ""))
     kept = F.transform(
         F.filter("atoms", lambda a: F.get("_to", a["id"]) == a["id"]),
@@ -420,3 +427,21 @@ def ring_pairs(found: Column) -> Column:
         lambda b: F.struct(a["ring"].alias("ri"), b["ring"].alias("rj"), F.array_intersect(a["atoms"], b["atoms"]).alias("atoms")),
     )
     return F.flatten(F.transform(found, pair))
+
+
+def joined_atoms() -> Column:
+    """The atoms that have a bond; all of them in a molecule of one atom."""
+    bonded = F.filter("atoms", lambda a: F.exists("bonds", lambda b: (b["src"] == a["id"]) | (b["dst"] == a["id"])))
+    return F.when(F.size("atoms") > 1, bonded).otherwise(F.col("atoms"))
+
+
+def bonds_between(pairs: Column) -> Column:
+    """``pairs`` (arrays of two atom ids) with the ids of the bonds between them, in either direction: array of (atoms, bonds)."""
+    at = lambda b, x, y: (b["src"] == x) & (b["dst"] == y)
+    either = lambda p: F.filter("bonds", lambda b: at(b, p[0], p[1]) | at(b, p[1], p[0]))
+    return F.transform(pairs, lambda p: F.struct(p.alias("atoms"), F.transform(either(p), lambda b: b["id"]).alias("bonds")))
+
+
+def prepared(df: DataFrame) -> DataFrame:
+    """Molecules as they are compared: coincident atoms merged, one bond for each pair of atoms, atoms without a bond dropped."""
+    return merge_atoms(df).withColumn("atoms", joined_atoms())
