@@ -11,10 +11,13 @@ branch's bond token (``ring_branch``).
 A molecule stays in its row: nothing here shuffles.  Only the walk over one
 molecule's atoms is Python, in Arrow batches.
 
-Defined results: a molecule without bonds is its text; a ring that shares bonds
-with several rings once all others are contracted, or several bonds with one,
-gives a null sequence and says why in ``error``; so does a molecule of several
-parts.
+Where rings are entangled (one shares bonds with several rings once all others
+are contracted, or several bonds with one, or a bond leads back to its ring), one
+of their bonds is cut beforehand and written as a pair of hooks, ``?[a]`` and
+``?[a,{type}]``, behind its two atoms.
+
+Defined results: a molecule without bonds is its text; a molecule of several parts
+gives a null sequence and says why in ``error``.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from retort.session import map_batches
 
 SUPER, BRANCH, END = "\\Superatom", "\\connbranch", "<ea>"
 _STEP = re.compile(rf"({'|'.join(map(re.escape, BONDS))})([@#]?)\[:(\d+)\]")
+_LINK = re.compile(r"\?\[([^,\]]*)(?:,\{([^}]*)\})?\]")
 SEQ = "array<struct<token:string,ring_branch:int,cond:int>>"
 _ATOM = pa.list_(pa.struct([("id", pa.int32()), ("text", pa.string()), ("x", pa.float64()), ("y", pa.float64())]))
 _BOND = pa.list_(
@@ -99,6 +103,22 @@ def smallest_rings(bonds: list[dict]) -> list[list[int]]:
     return [sorted(r) for r in found]
 
 
+class _Tangled(ValueError):
+    """Rings that can't be contracted one by one unless ``bond`` is cut."""
+
+    def __init__(self, bond: int):
+        super().__init__("entangled rings")
+        self.bond = bond
+
+
+def link_name(n: int) -> str:
+    """a, b, …, z, aa, … for numbers from 0."""
+    name = ""
+    while n >= 0:
+        name, n = chr(97 + n % 26) + name, n // 26 - 1
+    return name
+
+
 class _Graph:
     """Atoms and bonds of one molecule while rings are taken out of it or put back."""
 
@@ -143,10 +163,10 @@ def contract_rings(g: _Graph, rings: list[list[int]]) -> list[dict]:
         middle = {i: sum(g.atoms[a][1] for b in r for a in g.bonds[b][1:]) / (2 * len(r)) for i, r in left.items()}
         i = min(left, key=lambda r: (len(shared[r]), middle[r], r))
         if len(shared[i]) > 1:
-            raise ValueError("a ring with more than one adjacent ring is left")
+            raise _Tangled(min(set.union(*shared[i])))
         ring, common = left.pop(i), sorted(shared[i][0]) if shared[i] else []
         if len(common) > 1:
-            raise ValueError("two rings share more than one bond")
+            raise _Tangled(common[0])
         if common:
             kind, first, last = g.bonds[common[0]]
             order, path = g.around(ring, first)
@@ -175,7 +195,7 @@ def contract_rings(g: _Graph, rings: list[list[int]]) -> list[dict]:
                     record["branches"].setdefault(bond[end], []).append(b)
                     bond[end] = to[bond[end]]
             if bond[1] == bond[2] or (common and b != common[0] and {bond[1], bond[2]} == {first, last}):
-                raise ValueError("a bond leads back to its ring")
+                raise _Tangled(b)
         for a in to:
             del g.atoms[a]
         records.append(record)
@@ -238,9 +258,7 @@ def write(atoms: list[dict], bonds: list[dict]) -> str:
             out.append(g.atoms[n][0])
             for b, opens in closing.get(n, ()):
                 if opens:
-                    i, name = len(names), ""
-                    while i >= 0:
-                        i, name = i // 26 - 1, chr(97 + i % 26) + name
+                    name = link_name(len(names))
                     names[b] = (name, n)
                     out.append(f"?[{name}]")
                 else:
@@ -253,10 +271,20 @@ def write(atoms: list[dict], bonds: list[dict]) -> str:
 
 def encode(atoms: list[dict], bonds: list[dict]) -> tuple[list[dict], int]:
     """The ring-free sequence, and its number of contracted rings."""
-    g = _Graph(atoms, bonds)
-    if not g.atoms:
+    if not atoms:
         return [], 0
-    records = contract_rings(g, smallest_rings([{"id": b, "src": s, "dst": t} for b, (_, s, t) in g.bonds.items()]))
+    cut: list[dict] = []
+    while True:  # each cut opens a ring
+        g = _Graph(atoms, [b for b in bonds if b not in cut])
+        try:
+            records = contract_rings(g, smallest_rings([{"id": b, "src": s, "dst": t} for b, (_, s, t) in g.bonds.items()]))
+            break
+        except _Tangled as e:
+            cut.append(next(b for b in bonds if b["id"] == e.bond))
+    links: dict[int, list[str]] = {}
+    for n, b in enumerate(cut):
+        links.setdefault(b["src"], []).append(f"?[{link_name(n)}]")
+        links.setdefault(b["dst"], []).append(f"?[{link_name(n)},{{{b['type']}}}]")
     walk, closing = walk_tree(g)
     if closing:
         raise ValueError("a ring is left")
@@ -276,6 +304,8 @@ def encode(atoms: list[dict], bonds: list[dict]) -> tuple[list[dict], int]:
             place["bond", n] = put(f"{kind if along[n] else turned(kind)}[:{coded_angle(angle)}]")
         elif what == "atom":
             place["atom", n] = put(g.atoms[n][0])
+            for token in links.get(n, ()):
+                put(token)
         else:
             put(what)
     for r in reversed(records):
@@ -288,6 +318,8 @@ def encode(atoms: list[dict], bonds: list[dict]) -> tuple[list[dict], int]:
         for n, a in enumerate(order):
             if "atom" in r or 0 < n < len(order) - 1:
                 place["atom", a] = put(texts[n], cond)
+                for token in links.get(a, ()):
+                    put(token, cond)
                 for b in r["branches"].get(a, ()):
                     put(BRANCH, cond, place["bond", b])
             if n < len(steps):
@@ -303,6 +335,7 @@ def decode(seq: list[dict]) -> tuple[list[dict], list[dict]]:
     bonds: dict[int, list] = {}
     supers: dict[int, int] = {}
     gone: set[int] = set()
+    links: dict[str, dict[str, tuple[int, str]]] = {}
 
     def new_atom() -> int:
         texts.append("")
@@ -346,7 +379,10 @@ def decode(seq: list[dict]) -> tuple[list[dict], list[dict]]:
         else:
             if at < 0:
                 at = new_atom()
-            if step:
+            link = _LINK.fullmatch(token)
+            if link:
+                links.setdefault(link[1], {})["start" if link[2] is None else "end"] = (at, link[2])
+            elif step:
                 to = new_atom()
                 last = bonds[i] = [step[1], at, to, int(step[3])]
                 at = to
@@ -371,11 +407,18 @@ def decode(seq: list[dict]) -> tuple[list[dict], list[dict]]:
                     where[to] = (where[a][0] + math.cos(math.radians(angle)), where[a][1] + math.sin(math.radians(angle)))
                     queue.append(to)
     atoms = [{"id": number[a], "text": texts[a], "x": round(where[a][0], 6) + 0.0, "y": round(where[a][1], 6) + 0.0} for a in kept]
-    links = [
+    made = [
         {"id": n, "type": kind, "angle": float(angle), "src": number[src], "dst": number[dst], "hook": None, "length": 1.0}
         for n, (kind, src, dst, angle) in enumerate(bonds.values())
     ]
-    return atoms, links
+    for name, ends in links.items():
+        if len(ends) < 2:
+            raise ValueError(f"link {name} has one end")
+        src, (dst, kind) = ends["start"][0], ends["end"]
+        (x, y), (u, v) = where[src], where[dst]
+        angle, length = math.degrees(math.atan2(v - y, u - x)) % 360, math.dist(where[src], where[dst])
+        made.append({"id": len(made), "type": kind, "angle": round(angle, 6), "src": number[src], "dst": number[dst], "hook": name, "length": round(length, 6)})
+    return atoms, made
 
 
 def _each(df: DataFrame, keep: list[str], inputs: list[str], f: Callable, out: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
@@ -397,10 +440,12 @@ def _each(df: DataFrame, keep: list[str], inputs: list[str], f: Callable, out: d
     return map_batches(df.select(*dict.fromkeys([*keep, *inputs])), run, ", ".join(kinds))
 
 
-def contract(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys, before (the digest of the molecule's graph), seq, n_super, error."""
-    rows = with_codes(df.withColumns({"bonds": without_self_bonds()}).select(*keys, "atoms", "bonds"), {"before": ("atoms", "bonds")})
-    return _each(rows, [*keys, "before"], ["atoms", "bonds"], encode, {"seq": (SEQ, _SEQ), "n_super": ("int", pa.int32())})
+def contract(df: DataFrame, keys: list[str], before: bool = True) -> DataFrame:
+    """The keys, before (the digest of the molecule's graph, if wanted), seq, n_super, error."""
+    rows = df.withColumns({"bonds": without_self_bonds()}).select(*keys, "atoms", "bonds")
+    if before:
+        rows = with_codes(rows, {"before": ("atoms", "bonds")})
+    return _each(rows, [*keys, *(["before"] if before else [])], ["atoms", "bonds"], encode, {"seq": (SEQ, _SEQ), "n_super": ("int", pa.int32())})
 
 
 def expand(df: DataFrame, keep: list[str]) -> DataFrame:

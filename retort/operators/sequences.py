@@ -39,7 +39,7 @@ def with_molecules(labels: DataFrame, made: DataFrame, keys: list[str], part: st
 def restored_text(labels: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """(keys, text, error): labels taken apart and put together again, without white space; null where brackets don't close."""
     made = molecules.fragments(labels, keys, text_col)
-    whole = made.withColumn("error", F.when(F.col("markup").isNull(), F.col("error")))
+    whole = made.withColumn("error", F.when(F.col("name").isNull(), F.col("error")))
     whole = whole.withColumn("tokens", F.array(F.concat(F.lit(molecules.MARK + "{"), "markup", F.lit("}"))))
     rows = with_molecules(labels.select(*keys, text_col), whole, keys, "tokens", text_col)
     text = F.array_join(spliced(tokens(F.col("rest")), F.col("names"), F.col("parts")), "")
@@ -49,11 +49,9 @@ def restored_text(labels: DataFrame, keys: list[str], text_col: str) -> DataFram
 def label_sequences(labels: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """(keys, seq, n_molecules, error): seq is an array of (token, ring_branch, cond), null where error says why."""
     made = molecules.fragments(labels, keys, text_col)
-    coded = rings.contract(made, [*keys, "frag", "name", "rest"]).drop("before", "n_super")
-    why = made.select(*keys, "frag", F.col("error").alias("why"))
-    coded = coded.join(why, [*(coded[k].eqNullSafe(why[k]) for k in keys), coded["frag"] == why["frag"]]).select(
-        *(coded[k] for k in keys), coded["frag"], "name", "rest", "seq", F.coalesce("why", "error").alias("error")
-    )
+    made = made.withColumnRenamed("error", "why")
+    coded = rings.contract(made, [*keys, "frag", "name", "rest", "why"], before=False).drop("n_super")
+    coded = coded.withColumn("error", F.coalesce("why", "error")).drop("why")
     rows = with_molecules(labels.select(*keys, text_col), coded, keys, "seq", text_col)
     plain = lambda words: F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("ring_branch"), F.lit(-1).alias("cond")))
     frame = lambda words: plain(F.array(*map(F.lit, words)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort import queries_areas, queries_graph, queries_markup, queries_plans, queries_search
+from retort import queries_areas, queries_graph, queries_markup, queries_more, queries_plans, queries_search
 from retort.operators import nested
 from retort.sources import lines
 from retort.sources.tables import table
@@ -79,7 +79,7 @@ _KEY = r"regexp_extract(fields[1], '(?s)^(.*)-([0-9]+)-([0-9]+)-([0-9]+)\z', {0}
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_areas.SQL | queries_graph.SQL | queries_markup.SQL | queries_plans.SQL | queries_search.SQL | {
+    return queries_areas.SQL | queries_graph.SQL | queries_markup.SQL | queries_more.SQL | queries_plans.SQL | queries_search.SQL | {
         "p2_found": _LEVELS + " UNION ALL ".join(_PATH + t for t in ("topics", "cols", "lns")),
         "p2_topics": _LEVELS + _AREA + "topics",
         "p2_columns": _LEVELS + _AREA + "cols",
@@ -99,4 +99,4 @@ def oracle_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Query]:
     own = (p2_found, p2_records, p2_topics, p2_columns, p2_lines, p4_found, p4_rejected, p4_valid)
-    return {q.__name__: q for q in own} | queries_areas.FOUND | queries_graph.FOUND | queries_markup.FOUND | queries_plans.FOUND | queries_search.FOUND
+    return {q.__name__: q for q in own} | queries_areas.FOUND | queries_graph.FOUND | queries_markup.FOUND | queries_more.FOUND | queries_plans.FOUND | queries_search.FOUND

@@ -280,12 +280,17 @@ b AS (SELECT k AS cs_id, min({'d': """ + _DISTANCE + """, 'j': j, 'n': length(la
 best AS (SELECT cs_id, x.j AS best, CAST(x.d AS INTEGER) AS dist, CAST(x.n AS INTEGER) AS n FROM b) """
 
 
-def _best(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
-    """Of all labels of a sequence's file, the one nearest to the sequence (its last delivery); equal labels of a file are compared once."""
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(cs_id, hyp, label, label_id): a sequence's last delivery with the labels of its file; equal labels of a file once."""
     last = dedupe.last_wins(table(spark, d, "cs_log").select("cs_id", "loaded_at", "file_path", "cs_string"), ["cs_id"], ["loaded_at", "file_path", "cs_string"])
     hyps = last.filter("cs_string IS NOT NULL").select("cs_id", "file_path", fn.squeeze(F.col("cs_string")).alias("hyp"))
     labels = _labels(spark, d).filter("input_chemfig IS NOT NULL").groupBy("file_path", fn.squeeze(F.col("input_chemfig")).alias("label")).agg(F.min("label_id").alias("label_id"))
-    return evaluate.best_hypothesis(hyps.join(labels, "file_path"), ["cs_id"], "label", "hyp", "label_id", texts)
+    return hyps.join(labels, "file_path").drop("file_path")
+
+
+def _best(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
+    """Of all labels of a sequence's file, the one nearest to the sequence."""
+    return evaluate.best_hypothesis(_pairs(spark, d), ["cs_id"], "label", "hyp", "label_id", texts)
 
 
 @query(_HYPS + "SELECT cs_id, best, dist, n FROM best")

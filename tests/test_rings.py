@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from retort.operators import isomorphism, molecules, rings
+from retort.operators import isomorphism, molecules, rings, sequences
 
 SINGLE = "?[a]-[:0]C(-[:270]O)-[:60]N>[:120]-[:180]=[:240]?[a,{=}](-[:180]Br)"
 FUSED = "?[a]-[:0]?[b](-[:300]Cl)-[:60]S-[:120]?[c]-[:180]-[:240]?[a,{-}](-[:200]N)-[:120]"
@@ -33,9 +33,38 @@ def test_rings_are_contracted_and_expanded(spark):
             assert (s.ring_branch is not None) == (s.token == rings.BRANCH)
 
 
-def test_rings_that_cannot_be_contracted_give_a_reason(spark):
-    made = rings.contract(graphs(spark, [BRIDGED]), ["k"]).first()
-    assert made.seq is None and "share more than one bond" in made.error
+def test_entangled_rings_are_cut_and_linked(spark):
+    coded = rings.contract(graphs(spark, [BRIDGED]), ["k"])
+    assert any(s.token.startswith("?[") for s in coded.first().seq)
+    back = isomorphism.with_codes(rings.expand(coded.select("k", "before", "seq"), ["k", "before"]), {"after": ("atoms", "bonds")})
+    assert [r.before == r.after for r in back.collect()] == [True]
+    rng, pairs = random.Random(6), []
+    for n in range(4, 12):  # dense graphs, whose rings share many bonds
+        atoms = [{"id": i, "text": rng.choice(["", "C", "N"]), "x": rng.random() * 9, "y": rng.random() * 9} for i in range(n)]
+        ends = {(i, rng.randrange(i)) for i in range(1, n)} | {tuple(sorted(rng.sample(range(n), 2), reverse=True)) for _ in range(n)}
+        pairs.append((atoms, [{"id": i, "type": rng.choice("-=>"), "angle": 0.0, "src": a, "dst": b, "hook": None} for i, (a, b) in enumerate(sorted(ends))]))
+    for atoms, bonds in pairs:
+        assert isomorphism.canonical_code(*rings.decode(rings.encode(atoms, bonds)[0])) == isomorphism.canonical_code(atoms, bonds)
+
+
+def test_whole_labels_as_sequences(spark):
+    mol = lambda x: "\\chemfig{" + x + "}"
+    texts = ["A " + mol(SINGLE) + " + B_{2} " + mol(CHAIN), "plain text", None, "", mol(SPIRO) + mol(BRIDGED) + "水", "x " + mol("C)"), "\\chemfig{C"]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "k bigint, s string, rest string")
+    text = {r.k: r.text for r in sequences.restored_text(df, ["k"], "s").collect()}
+    assert text == {i: None if t is None or i == 6 else t.replace(" ", "") for i, t in enumerate(texts)}
+    made = sequences.label_sequences(df, ["k"], "s")
+    got = {r.k: r for r in made.collect()}
+    assert [x.token for x in got[1].seq] == list("plaintext") and got[2].seq is None and got[3].seq == [] and got[5].error and got[6].error
+    for r in got.values():
+        for x in r.seq or []:
+            assert (x.ring_branch is None) == (x.token != rings.BRANCH)
+            assert x.ring_branch is None or "[:" in r.seq[x.ring_branch].token
+    back = isomorphism.with_codes(rings.expand(sequences.sequence_molecules(made, ["k"]), ["k", "frag"]), {"after": ("atoms", "bonds")})
+    made = isomorphism.with_codes(molecules.fragments(df, ["k"], "s"), {"before": ("atoms", "bonds")})
+    want = {(r.k, r.frag): r.before for r in made.collect() if r.k in (0, 4)}
+    assert {(r.k, r.frag): r.after for r in back.collect()} == want and len(want) == 4
+    assert sequences.label_sequences(df.limit(0), ["k"], "s").count() == 0
 
 
 def test_smallest_rings_of_a_fused_system():
