@@ -107,4 +107,7 @@ def test_graph_expressions(spark):
     assert [(s.distance, s.a, s.b) for s in got[1].seeds] == [(0.0, 0, 0), (0.0, 1, 1)]
     assert len(got[3].outer) == 1 and len(got[3].outer[0].bonds) == 2
     one = {r.k: r for r in molecules.merge_atoms(made.select("k", "atoms", "bonds")).collect()}
-    assert [a.text for a in one[0].atoms] == ["C", "", "N"] and [(b.src, b.dst) for b in one[0].bonds] == [(1, 0), (0, 3)]
+    # Two atoms in one place with a text each stay apart; one without a text is merged.
+    assert [a.text for a in one[0].atoms] == ["C", "", "O", "N"] and [(b.src, b.dst) for b in one[0].bonds] == [(0, 1), (1, 2), (2, 3)]
+    bare = molecules.merge_atoms(graphs(spark, ["C-[:0]-[:180]-[:90]N"]).select("k", "atoms", "bonds")).first()
+    assert [a.text for a in bare.atoms] == ["C", "", "N"] and [(b.src, b.dst) for b in bare.bonds] == [(1, 0), (0, 3)]
