@@ -169,16 +169,9 @@ def merge_single_chars(items: Column) -> Column:
 
 def _merged(items: Column) -> Column:
     n = F.size(items)
-    start = F.struct(F.lit(False).alias("run"), F.slice(items, 1, 0).alias("out"))
-    numbered = F.transform(items, lambda t, i: F.struct(t.alias("t"), ((F.length(t) == 1) & (i > 0) & (i < n - 1)).alias("one")))
-    step = lambda s, m: F.struct(
-        m["one"].alias("run"),
-        F.when(
-            s["run"] & m["one"],
-            F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(F.concat(F.element_at(s["out"], -1), m["t"]))),
-        ).otherwise(F.concat(s["out"], F.array(m["t"]))).alias("out"),
-    )
-    return F.aggregate(numbered, start, step)["out"]
+    alone = F.transform(items, lambda t, i: (F.length(t) == 1) & (i > 0) & (i < n - 1))
+    begins = let(alone, lambda one: F.filter(F.transform(one, lambda o, i: F.when(~(o & (i > 0) & F.get(one, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull()))
+    return let(begins, lambda s: F.transform(s, lambda at, j: F.array_join(F.slice(items, at + 1, F.coalesce(F.get(s, j + 1), n) - at), "")))
 
 
 def wrap_brackets(items: Column) -> Column:

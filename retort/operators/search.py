@@ -74,16 +74,30 @@ def kth_best(scores: Column, k: int) -> Column:
 
 def run_ranks(items: Column, token: str) -> Column:
     """At each place of ``token`` its rank, from 1, in the run of equal tokens there; 0 elsewhere."""
-    step = lambda out, t: F.concat(out, F.array(F.when(t == token, F.coalesce(F.element_at(out, -1), F.lit(0)) + 1).otherwise(F.lit(0))))
-    first = lambda t: F.array(F.when(t == token, F.lit(1)).otherwise(F.lit(0)))
-    whole = F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), first(F.get(items, F.lit(0))), step)
-    return F.when(F.size(items) > 0, whole).when(items.isNotNull(), F.array().cast("array<int>"))
+
+    def ranked(a: Column) -> Column:
+        others = F.filter(F.transform(a, lambda t, i: F.when(t == token, F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
+        # From each other token to the next: a 0 for itself, and 1, 2, … for the run behind it.
+        return let(F.concat(F.array(F.lit(-1)), others, F.array(F.size(a))), lambda p: F.flatten(F.transform(
+            F.slice(p, 1, F.size(p) - 1), lambda at, j: F.concat(
+                F.when(at >= 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
+                F.when(F.get(p, j + 1) - at > 1, F.sequence(F.lit(1), F.get(p, j + 1) - at - 1)).otherwise(F.array().cast("array<int>")),
+            ))))
+
+    return F.when(items.isNotNull(), let(items, ranked))
 
 
 def offsets(flags: Column) -> Column:
     """At each true flag the number of true flags up to it; 0 elsewhere."""
-    counts = lambda a, i: F.size(F.filter(F.slice(a, 1, i + 1), lambda f: f))
-    return let(flags, lambda a: F.transform(a, lambda f, i: F.when(f, counts(a, i)).otherwise(F.lit(0))))
+
+    def counted(a: Column) -> Column:
+        places = F.filter(F.transform(a, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+        before = lambda p, j: F.when(j > 0, F.get(p, j - 1)).otherwise(-1)
+        up_to = lambda p: F.flatten(F.transform(p, lambda at, j: F.concat(F.array_repeat(F.lit(0), at - before(p, j) - 1), F.array(j + 1))))
+        rest = lambda p: F.array_repeat(F.lit(0), F.size(a) - F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(-1)) - 1)
+        return let(places, lambda p: F.concat(up_to(p), rest(p)))
+
+    return F.when(flags.isNotNull(), let(flags, counted))
 
 
 def used_before(items: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from retort.functions import text as fn
 from retort.operators import areas, molecules
+from retort.queries_graph import MOLECULES
 from retort.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +88,9 @@ def foreground_box(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("ocr_lines").cast("bigint").alias("n_lines"), x0.alias("x0"), y0.alias("y0"), w.alias("w"), h.alias("h"))
 
 
-@query()
+@query(MOLECULES + """, e AS (SELECT m, src AS atom FROM link UNION SELECT m, dst FROM link), n AS (SELECT atom.m, count(*) AS n, count(*) FILTER (e.atom IS NULL) AS lone
+    FROM atom LEFT JOIN e ON e.m = atom.m AND e.atom = atom.atom GROUP BY atom.m)
+  SELECT label_id, loaded_at, frag, CAST(CASE WHEN n.n > 1 THEN n.lone ELSE 0 END AS INTEGER) AS n_isolated, trim(markup) = '' AND m NOT IN (SELECT m FROM link) AS is_empty FROM mol LEFT JOIN n USING (m)""")
 def mol_isolated_atoms(spark: SparkSession, d: str) -> DataFrame:
     """Molecules of several atoms in which some atom has no bond, and drawn-away bonds and empty molecules."""
     made = molecules.fragments(table(spark, d, "labels_tsv"), ["label_id", "loaded_at"], "input_chemfig").filter("error IS NULL")

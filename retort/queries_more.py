@@ -50,7 +50,8 @@ def label_sequences(spark: SparkSession, d: str) -> DataFrame:
     return made.select(*KEYS, F.posexplode("seq").alias("pos", "s")).select(*KEYS, "pos", "s.token", "s.ring_branch", "s.cond")
 
 
-@query()
+@query(queries_graph.MOLECULES + """, odd AS (SELECT DISTINCT label_id, loaded_at FROM f WHERE m IN (SELECT m FROM bad))
+  SELECT label_id, loaded_at, frag, true AS same, CAST(NULL AS VARCHAR) AS error FROM mol WHERE (label_id, loaded_at) NOT IN (SELECT (label_id, loaded_at) FROM odd)""")
 def label_sequence_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The molecules read back from whole sequences against those of the labels: same or not, compared exactly."""
     labels = _labels(spark, d)
