@@ -156,6 +156,36 @@ def decode_beams(df: DataFrame, sample: str, step: str, log_probs: str, k: int)
     return best.select("sample", "rank", "b.tokens", (-F.col("b.neg")).alias("score"))
 
 
+def beam_loop(df: DataFrame, sample: str, step: str, beam: str, log_probs: str, k: int, eos: int) -> DataFrame:
+    """(sample, rank, tokens, cost): beams of width k over steps whose scores depend on the beam that is extended.
+
+    ``df`` has a row for each sample, step (from 0) and beam (from 0, the place of
+    a beam among those of the step before; the first step uses beam 0), with the
+    scores of all tokens.  A beam that took ``eos`` is finished and stays as it is; one
+    without scores at a step is lost.  Ties go to the lower tokens.  ``cost`` is minus the
+    mean score of a beam's steps, by which the beams are ranked in the end.  Each
+    row first keeps its own k best tokens, so that k by k tokens a step are gathered.
+    """
+    scored = F.transform(log_probs, lambda v, i: F.struct((-v).cast("double").alias("neg"), i.cast("int").alias("token")))
+    own = df.select(F.col(sample).alias("sample"), F.col(step).alias("step"), F.struct(F.col(beam).alias("beam"), F.slice(F.array_sort(scored), 1, k).alias("best")).alias("own"))
+    by_step = own.groupBy("sample", "step").agg(F.collect_list("own").alias("own"))
+    steps = by_step.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("step", "own"))).alias("steps"))
+    state = lambda neg, tokens, n, done: F.struct(neg.alias("neg"), tokens.alias("tokens"), n.alias("n"), done.alias("done"))
+    start = F.array(state(F.lit(0.0).cast("double"), F.array().cast("array<int>"), F.lit(0), F.lit(False)))
+
+    def grow(b: Column, j: Column, s: Column) -> Column:
+        best = F.get(F.filter(s["own"], lambda o: o["beam"] == j), F.lit(0))["best"]
+        longer = F.transform(best, lambda t: state(b["neg"] + t["neg"], F.concat(b["tokens"], F.array(t["token"])), b["n"] + 1, t["token"] == eos))
+        return F.when(b["done"], F.array(b)).otherwise(F.coalesce(longer, F.slice(F.array(b), 1, 0)))
+
+    def one(beams: Column, s: Column) -> Column:
+        return F.slice(F.array_sort(F.flatten(F.transform(beams, lambda b, j: grow(b, j, s)))), 1, k)
+
+    ended = F.transform(F.aggregate("steps", start, one), lambda b: F.struct((b["neg"] / b["n"]).alias("cost"), b["tokens"].alias("tokens")))
+    ranked = steps.select("sample", F.posexplode(F.array_sort(ended)).alias("rank", "b"))
+    return ranked.select("sample", "rank", "b.tokens", "b.cost")
+
+
 def scatter_add(df: DataFrame, slot: str, values: str) -> DataFrame:
     """(slot, pos, total): the arrays of each slot added up place by place; partial sums before the shuffle."""
     long = df.select(F.col(slot).alias("slot"), F.posexplode(values).alias("pos", "v"))

@@ -169,6 +169,25 @@ def beam_decode(spark: SparkSession, d: str) -> DataFrame:
     return search.decode_beams(rows, "sample", "step", "e", 5).withColumns({"tokens": F.array_join("tokens", " "), "score": F.round("score", 6)})
 
 
+def _loop(steps: int, beams: int, tokens: int, k: int, eos: int) -> str:
+    """SQL of a search whose step ``t`` scores beam ``b`` by the ``tokens`` entries from (t * beams + b) * tokens on."""
+    out = _T + f""", l AS (SELECT vec_id AS sample, pos // {beams * tokens} AS step, pos // {tokens} % {beams} AS beam, pos % {tokens} AS token, v FROM t WHERE pos < {steps * beams * tokens}),
+      b0 AS (SELECT DISTINCT sample, 0 AS j, 0.0::DOUBLE AS neg, CAST([] AS BIGINT[]) AS tokens, 0 AS n, false AS done FROM l)"""
+    for i in range(steps):
+        out += f""", c{i} AS (SELECT b.sample, b.neg - l.v AS neg, list_append(b.tokens, l.token) AS tokens, b.n + 1 AS n, l.token = {eos} AS done FROM b{i} b JOIN l ON b.sample = l.sample AND l.step = {i} AND l.beam = b.j WHERE NOT b.done
+            UNION ALL SELECT sample, neg, tokens, n, done FROM b{i} WHERE done),
+          b{i + 1} AS (SELECT sample, r - 1 AS j, neg, tokens, n, done FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY neg, tokens) AS r FROM c{i}) WHERE r <= {k})"""
+    return out + f" SELECT sample, CAST(row_number() OVER (PARTITION BY sample ORDER BY neg / n, tokens) - 1 AS INTEGER) AS rank, array_to_string(tokens, ' ') AS tokens, round(neg / n, 6) AS cost FROM b{steps}"
+
+
+@query(_loop(4, 3, 5, 3, 2))
+def beam_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Four steps of three beams over five tokens, of which 2 ends a beam; scores are stretches of a vector."""
+    cells = F.explode(F.expr("flatten(transform(sequence(0, 3), s -> transform(sequence(0, 2), b -> named_struct('step', s, 'beam', b, 'lp', slice(e, (s * 3 + b) * 5 + 1, 5)))))"))
+    rows = _vectors(spark, d).select(F.col("vec_id").alias("sample"), cells.alias("c")).select("sample", "c.*")
+    return search.beam_loop(rows, "sample", "step", "beam", "lp", 3, 2).withColumns({"tokens": F.array_join("tokens", " "), "cost": F.round("cost", 6)})
+
+
 @query(_E + """, p AS (SELECT a.vec_id AS branch, b.vec_id AS bond, list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS score
     FROM e a JOIN e b ON a.vec_id // 5 = b.vec_id // 5 AND a.vec_id <> b.vec_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY score DESC, bond) AS k FROM p) SELECT branch, bond, round(score, 5) AS score FROM r WHERE k = 1""")

@@ -97,6 +97,15 @@ def test_codes_in_frames(spark):
     assert isomorphism.with_codes(molecules.fragments(df.limit(0), ["k"], "s"), {"code": ("atoms", "bonds")}).count() == 0
 
 
+def test_prepared_molecules_have_no_doubles(spark):
+    rows = [(1, "*6(--*6(------)----)"), (2, "C-[:0]=[:180]"), (3, "N"), (4, "A?[a]-B?[a,{=}]")]
+    df = spark.createDataFrame([(k, "\\chemfig{" + m + "}") for k, m in rows], "k bigint, s string")
+    got = {r.k: r for r in molecules.prepared(molecules.fragments(df, ["k"], "s").select("k", "atoms", "bonds")).collect()}
+    assert (len(got[1].atoms), len(got[1].bonds)) == (10, 11)
+    assert (len(got[2].atoms), [b.type for b in got[2].bonds]) == (2, ["="]) and len(got[3].atoms) == 1
+    assert [b.type for b in got[4].bonds] == ["="]
+
+
 def test_numbers_with_blocks(spark):
     F = numbering.F
     df = spark.createDataFrame([(i * 7 % 1000, i) for i in range(1000)] + [(5, 5), (None, 1)], "k bigint, number bigint")

@@ -83,3 +83,25 @@ def test_text_functions(spark, make, before, after):
 def test_words_are_corrected(spark):
     assert one(spark, latex.correct_words(A, {"a": "b", "x": ""}), items=["a", "x", "c"]) == ["b", "c"]
     assert one(spark, latex.correct_words(A, {"a": "b"})) is None and one(spark, latex.correct_words(A, {}), items=["a"]) == ["a"]
+
+
+def test_beam_loop_equals_a_plain_one(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for sample in range(12):
+        n_steps, k, eos = sample % 4 + 1, 3, 1
+        lp = {(t, b): [round(-rng.random() * 3, 1) for _ in range(4)] for t in range(n_steps) for b in range(k)}
+        rows += [(sample, t, b, v, "clash") for (t, b), v in lp.items()]
+        beams = [(0.0, [], False)]
+        for t in range(n_steps):
+            longer = []
+            for j, (neg, tokens, done) in enumerate(beams):
+                longer += [(neg, tokens, True)] if done else [(neg - v, [*tokens, i], i == eos) for i, v in enumerate(lp[t, j])]
+            beams = sorted(longer, key=lambda x: (x[0], x[1]))[:k]
+        want[sample] = [tokens for _, tokens, _ in sorted(beams, key=lambda x: (x[0] / len(x[1]), x[1]))]
+    df = spark.createDataFrame(rows, "sample int, step int, beam int, lp array<double>, tokens string")
+    got = {}
+    for r in sorted(search.beam_loop(df, "sample", "step", "beam", "lp", 3, 1).collect(), key=lambda r: (r.sample, r.rank)):
+        got.setdefault(r.sample, []).append(r.tokens)
+    assert got == want
+    assert search.beam_loop(df.limit(0), "sample", "step", "beam", "lp", 3, 1).count() == 0
