@@ -181,13 +181,13 @@ def _by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def same_graphs(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``equal``: whether molecules a and b (markup_x, sig_x, atoms_x, bonds_x) are one graph; false where either is missing or unparsed.
+    """``pairs`` with ``equal``: whether molecules a and b (markup_x, atoms_x, bonds_x) are one graph; false where either is missing or unparsed.
 
-    Equal markup is equal and unequal signatures aren't; only what is left is compared atom by atom.
+    Equal markup is equal; only pairs written differently are compared atom by atom.
     """
     sound = F.col("atoms_a").isNotNull() & F.col("atoms_b").isNotNull()
     written = sound & (F.col("markup_a") == F.col("markup_b"))
-    open_ = sound & ~written & (F.col("sig_a") == F.col("sig_b"))
+    open_ = sound & ~written
     only = {f"_{c}_{x}": F.when(open_, F.col(f"{c}_{x}")) for c in ("atoms", "bonds") for x in "ab"}
     kept = pairs.withColumn("_written", written).withColumns(only).drop("atoms_a", "bonds_a", "atoms_b", "bonds_b")
     coded = isomorphism.with_codes(kept, {"_code_a": ("_atoms_a", "_bonds_a"), "_code_b": ("_atoms_b", "_bonds_b")})
@@ -207,7 +207,7 @@ def _structures(spark: SparkSession, d: str) -> DataFrame:
     def side(labels: DataFrame, x: str) -> DataFrame:
         made = molecules.fragments(labels, ["base_name"], "input_chemfig").filter(F.col("error").isNotNull() | molecules.flat_text().isNull())
         return made.select(
-            "base_name", "frag", fn.squeeze(F.col("markup")).alias(f"markup_{x}"), molecules.signature().alias(f"sig_{x}"),
+            "base_name", "frag", fn.squeeze(F.col("markup")).alias(f"markup_{x}"),
             F.col("atoms").alias(f"atoms_{x}"), F.col("bonds").alias(f"bonds_{x}"), F.lit(True).alias(f"has_{x}"),
         )
 
@@ -251,6 +251,9 @@ def metric_table(spark: SparkSession, d: str) -> DataFrame:
     known = first.filter("input_chemfig IS NOT NULL")
     ref = table(spark, d, "cs_log").filter("file_path IS NOT NULL").select(fn.base_name(F.col("file_path")).alias("base_name"), F.lit(1).alias("ref")).distinct()
     rows = side(known, "a").join(side(last, "b"), "base_name").join(_structures(spark, d), "base_name", "left").join(ref, "base_name", "left")
+    # Equal texts have no edits: their tokens aren't sent to Python.
+    differ = ~F.col("text_a").eqNullSafe(F.col("text_b"))
+    rows = rows.withColumn("n_tokens", F.size("tokens_a")).withColumns({c: F.when(differ, F.col(c)) for c in ("tokens_a", "tokens_b")})
     scored = evaluate.edit_counts(rows.na.fill(0, ["n_label", "n_correct", "n_extra"]), "tokens_a", "tokens_b")
     same = (F.col("n_correct") == F.col("n_label")) & (F.col("n_extra") == 0)
     line = same & F.coalesce(F.col("around_a") == F.col("around_b"), F.lit(False))
@@ -258,7 +261,7 @@ def metric_table(spark: SparkSession, d: str) -> DataFrame:
     one, ref = F.lit(1), F.col("ref")
     single = lambda on: {"sent_n": F.when(on == 1, F.col("n_label")), "sent_correct": F.col("n_correct"), "n": one}
     return evaluate.metric_table(scored, {
-        "base": {"sent_n": one, "sent_correct": exact, "d": F.col("n_del"), "s": F.col("n_sub"), "i": F.col("n_ins"), "n": F.size("tokens_a")},
+        "base": {"sent_n": one, "sent_correct": exact, "d": F.col("n_del"), "s": F.col("n_sub"), "i": F.col("n_ins"), "n": F.col("n_tokens")},
         "struct": {"sent_n": one, "sent_correct": same, "n": one}, "struct.single": single(one), "struct.line": {"sent_n": one, "sent_correct": line, "n": one},
         "struct.ref": {"sent_n": ref, "sent_correct": same, "n": one}, "struct.ref.single": single(ref), "struct.ref.line": {"sent_n": ref, "sent_correct": line, "n": one},
     })
