@@ -5,12 +5,12 @@ a large share of all rows is handled once; equal texts overlap as members of one
 class.  Every class text is cut into grams of ``gram(size)`` characters, and in
 each window of grams the one of least hash is selected (winnowing), so that two
 texts with a clean stretch of ``stretch(size)`` characters share a selected gram.
-Selected grams are joined across splits; each carries how often the characters
-of 32 groups occur before and after it, which rules out most chance seeds inside
-the join: an edit changes these counts by two at most.  The seeds of a pair are
-chained collinearly, pairs whose cheapest chain, or whose counts of short grams,
-imply more edits than allowed are dropped, and the others are aligned outwards
-from the ends of their chain.
+Selected grams are joined across splits in packed blocks (``seeds``); each carries
+how often the characters of 20 groups occur before and after it, which rules out
+most chance seeds inside the join: an edit changes these counts by two at most.
+The seeds of a pair are chained collinearly, pairs whose cheapest chain, or whose
+counts of short grams, imply more edits than allowed are dropped, and the others
+are aligned outwards from the ends of their chain.
 
 Lengths: the same steps serve every text.  Gram and window grow with the length
 (``LEVELS``), because a tenth of edits leaves a short text only short clean
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retort.llm import seeds
 from retort.session import map_batches
 
 #: Least length, characters of a gram, grams of a window, digits a gram needs to be preferred. The last level's window grows by one every ten characters.
@@ -40,8 +41,8 @@ LEVELS = ((0, 4, 2, 0), (70, 7, 7, 1), (100, 10, 4, 2), (140, 14, 6, 4))
 GROWTH = 24
 #: One edit for this many characters of the longer text.
 PER_EDIT = 10
-#: Groups of characters that are counted around a seed, and the size from which on the counts aren't used.
-GROUPS, COUNTED = 32, 1 << 16
+#: Groups of characters of ``group_counts``.
+GROUPS = 32
 #: Length of the grams that are counted in the texts of a pair, and the slots of their counts.
 COUNTED_GRAM, SLOTS = 4, 1024
 #: Pairs with more seeds than this (repetitive texts) are aligned without a chain's bound.
@@ -74,9 +75,14 @@ def members(labels: DataFrame) -> DataFrame:
     return rows.filter(F.col("label_id").isNotNull() & F.col("side").isNotNull() & (F.col("text") != ""))
 
 
+def _cls(text: str, name: str = "cls") -> Column:
+    """A hash of the text of as many bits as a seed keeps of it."""
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - seeds.BITS).alias(name)
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """(cls, sides, text): each distinct text once; ``cls`` is a hash, ``sides`` the union of the sides' bits."""
-    hashed = rows.select(F.xxhash64("text").alias("cls"), "side", "text")
+    hashed = rows.select(_cls("text"), "side", "text")
     grouped = hashed.groupBy("cls").agg(F.bit_or("side").alias("sides"), F.collect_set("text").alias("texts"))
     return grouped.select("cls", "sides", F.explode("texts").alias("text"))
 
@@ -121,15 +127,19 @@ def winnow(codes: np.ndarray, size: np.ndarray, k: int, width: int, telling: int
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = gram_hashes(codes, k)
     digits = np.r_[0, np.cumsum((codes >= 48) & (codes <= 57))]
-    few = (digits[k:] - digits[:-k]) < telling
+    held = digits[k:] - digits[:-k]
+    # Grams with half the digits still come before those that are nearly all letters, which most texts share.
+    few = (held < telling).astype(np.uint64) + (2 * held < telling)
     at = np.arange(len(hashes), dtype=np.uint64)
     low = np.uint64(0xFFFF)
-    order = ((hashes >> np.uint64(1)) | (few.astype(np.uint64) << np.uint64(63))) & ~low | (at & low)
+    order = ((hashes >> np.uint64(2)) | (few << np.uint64(62))) & ~low | (at & low)
     least = _sliding(order, width, np.minimum)
     at = np.arange(len(least))
     whole = at + k + width - 1 <= end[row[: len(least)]]
     least, at = least[whole], at[whole]
-    place = np.unique(at + ((least.astype(np.int64) - at) & 0xFFFF))
+    selected = np.zeros(len(hashes), bool)
+    selected[at + ((least.astype(np.int64) - at) & 0xFFFF)] = True
+    place = np.flatnonzero(selected)
     return place, hashes[place].view(np.int64)
 
 
@@ -157,7 +167,7 @@ def group_counts(codes: np.ndarray, from_: np.ndarray, to: np.ndarray) -> tuple[
     for word in range(2):
         packed = np.zeros(len(from_), np.uint64)
         for part in range(4):
-            # Four groups a sum, 16 bits each; a difference of two sums is exact for spans under COUNTED.
+            # Four groups a sum, 16 bits each; a difference of two sums is exact for spans under 1 << 16.
             one = np.zeros(GROUPS, np.uint64)
             for lane in range(4):
                 one[word * 16 + part * 4 + lane] = np.uint64(1) << np.uint64(16 * lane)
@@ -170,9 +180,6 @@ def group_counts(codes: np.ndarray, from_: np.ndarray, to: np.ndarray) -> tuple[
     return words[0], words[1]
 
 
-MARKS = "key bigint not null, cls bigint not null, size int not null, place int not null, b1 bigint not null, b2 bigint not null, a1 bigint not null, a2 bigint not null"
-
-
 def _levels(size: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
     """(level, text numbers): an evaluation text gives its own level, a train text all those of possible partners."""
     own = level_of(size)
@@ -183,28 +190,46 @@ def _levels(size: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
             yield level, rows
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], side: int, gram: int | None, window: int | None) -> Iterator[pa.RecordBatch]:
-    names = ["key", "cls", "size", "place", "b1", "b2", "a1", "a2"]
+def _fingerprints(cls: np.ndarray, texts: list[str], side: int, gram: int | None, window: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, cls, size, place, counts) of the grams selected in texts of one side."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    for level, chosen in [(None, np.arange(len(texts)))] if gram else _levels(size, side):
+        k, telling = (gram, 0) if gram else (LEVELS[level][1], LEVELS[level][3])
+        width = np.full(len(chosen), window) if gram else window_of(level, size[chosen])
+        for w in np.unique(width):
+            rows = chosen[width == w]
+            total = np.cumsum(size[rows])
+            for part in np.split(rows, np.searchsorted(total, np.arange(2_000_000, total[-1], 2_000_000))):
+                if not len(part):
+                    continue
+                codes = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32)
+                place, key = winnow(codes, size[part], k, int(w), telling)
+                end = np.cumsum(size[part])
+                owner = np.searchsorted(end, place, "right")
+                own, start = part[owner], (end - size[part])[owner]
+                yield key, cls[own], size[own].astype(np.int32), (place - start).astype(np.int32), seeds.kind_counts(codes, start, place, end[owner])
+
+
+def _seed_blocks(batches: Iterator[pa.RecordBatch], buckets: int, gram: int | None, window: int | None) -> Iterator[pa.RecordBatch]:
+    """The selected grams of both sides of the texts of a task, a block for each bucket of keys and side."""
+    parts: dict[int, list] = {EVAL: [], TRAIN: []}
+
+    def written() -> Iterator[pa.RecordBatch]:
+        rows = [row for side, some in parts.items() if some for row in seeds.blocks(some, side, buckets)]
+        if rows:
+            yield seeds.as_batch(rows)
+        for some in parts.values():
+            some.clear()
+
     for b in batches:
-        cls, texts = b.column("cls").to_numpy(), b.column("text").to_pylist()
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        for level, chosen in [(None, np.arange(len(texts)))] if gram else _levels(size, side):
-            k, telling = (gram, 0) if gram else (LEVELS[level][1], LEVELS[level][3])
-            width = np.full(len(chosen), window) if gram else window_of(level, size[chosen])
-            for w in np.unique(width):
-                rows = chosen[width == w]
-                total = np.cumsum(size[rows])
-                for part in np.split(rows, np.searchsorted(total, np.arange(2_000_000, total[-1], 2_000_000))):
-                    if not len(part):
-                        continue
-                    codes = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32)
-                    place, key = winnow(codes, size[part], k, int(w), telling)
-                    end = np.cumsum(size[part])
-                    owner = np.searchsorted(end, place, "right")
-                    own, start = part[owner], (end - size[part])[owner]
-                    counts = [*group_counts(codes, start, place), *group_counts(codes, place, end[owner])]
-                    columns = [key, cls[own], size[own].astype(np.int32), (place - start).astype(np.int32), *counts]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        cls, sides, texts = b.column("cls").to_numpy(), b.column("sides").to_numpy(), b.column("text").to_pylist()
+        for side, some in parts.items():
+            rows = np.flatnonzero(sides & side)
+            if len(rows):
+                some.extend(_fingerprints(cls[rows], [texts[i] for i in rows], side, gram, window))
+        if sum(len(x[0]) for some in parts.values() for x in some) >= seeds.PACKED:
+            yield from written()
+    yield from written()
 
 
 def allowed(a: Column, b: Column) -> Column:
@@ -212,8 +237,8 @@ def allowed(a: Column, b: Column) -> Column:
     return F.floor(F.greatest(a, b) / F.lit(PER_EDIT)).cast("int")
 
 
-def counts_apart(seeds: DataFrame, keep: list[str]) -> tuple[DataFrame, Column]:
-    """``seeds`` with their packed counts compared, and the sum of the differences (each modulo 16, the shorter way round): at most two for an edit."""
+def counts_apart(pairs: DataFrame, keep: list[str]) -> tuple[DataFrame, Column]:
+    """``pairs`` with their packed counts compared, and the sum of the differences (each modulo 16, the shorter way round): at most two for an edit."""
     nibbles, ones = F.lit(0x0F0F0F0F0F0F0F0F), F.lit(0x0101010101010101)
     parts = []
     for name in ("b1", "b2", "a1", "a2"):
@@ -221,7 +246,7 @@ def counts_apart(seeds: DataFrame, keep: list[str]) -> tuple[DataFrame, Column]:
             x, y = ((F.shiftrightunsigned(c, half) if half else c).bitwiseAND(nibbles) for c in (F.col(f"{name}_e"), F.col(f"{name}_t")))
             parts.append((x.bitwiseOR(F.lit(0x1010101010101010)) - y).bitwiseAND(nibbles).alias(f"d{len(parts)}"))
     # A generator keeps all this out of the join's inner loop, which the JVM would else not compile.
-    compared = seeds.select(*keep, F.inline(F.array(F.struct(*parts))))
+    compared = pairs.select(*keep, F.inline(F.array(F.struct(*parts))))
     total = F.lit(0)
     for i in range(len(parts)):
         d = F.col(f"d{i}")
@@ -259,18 +284,13 @@ def chain(seeds: Column, size_e: Column, size_t: Column, window: Column) -> Colu
 def class_pairs(distinct: DataFrame, gram: int | None = None, window: int | None = None) -> DataFrame:
     """(cls_e, text_e, cls_t, text_t, distance, seeds): different texts, one of an evaluation split and one of train, within the allowed edits."""
 
-    def marks(bit: int, x: str) -> DataFrame:
-        some = distinct.filter(F.col("sides").bitwiseAND(bit) > 0).select("cls", "text")
-        made = map_batches(some, lambda batches: _fingerprints(batches, bit, gram, window), MARKS)
-        return made.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "size", "place", "b1", "b2", "a1", "a2")))
-
     c = F.col
     most = allowed(c("size_e"), c("size_t"))
-    left, right = F.abs(c("place_e") - c("place_t")), F.abs((c("size_e") - c("place_e")) - (c("size_t") - c("place_t")))
-    seeds = marks(EVAL, "e").join(marks(TRAIN, "t"), "key").filter((c("cls_e") != c("cls_t")) & (left + right <= most))
-    compared, apart = counts_apart(seeds, ["cls_e", "cls_t", "size_e", "size_t", "place_e", "place_t"])
-    seeds = compared.filter((F.greatest("size_e", "size_t") >= COUNTED) | (apart <= 2 * most - left - right))
-    grouped = seeds.groupBy("cls_e", "cls_t", "size_e", "size_t").agg(F.array_sort(F.collect_set(F.struct(c("place_e").alias("a"), c("place_t").alias("b")))).alias("seeds"))
+    buckets = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = map_batches(distinct.select("cls", "sides", "text"), lambda batches: _seed_blocks(batches, buckets, gram, window), seeds.BLOCKS)
+    kinds = "cls_e bigint, cls_t bigint, size_e int, size_t int, place_e int, place_t int"
+    shared = map_batches(made.repartitionById(buckets, "bucket"), lambda batches: seeds.join_blocks(batches, (EVAL, TRAIN), PER_EDIT), kinds)
+    grouped = shared.groupBy("cls_e", "cls_t", "size_e", "size_t").agg(F.array_sort(F.collect_set(F.struct(c("place_e").alias("a"), c("place_t").alias("b")))).alias("seeds"))
     longest = F.greatest("size_e", "size_t")
     clean = F.lit(gram + window - 1) if gram else stretch(longest)
     n = F.size("seeds")
@@ -356,7 +376,7 @@ def _class_links(rows: DataFrame, gram: int | None, window: int | None) -> DataF
 def _own(rows: DataFrame, bit: int, x: str) -> DataFrame:
     """(label_id_x, cls_x, tag_x) of one side, as delivered."""
     return rows.filter(F.col("side") == bit).select(
-        F.col("label_id").alias(f"label_id_{x}"), F.xxhash64("text").alias(f"cls_{x}"), _tag(F.col("text")).alias(f"tag_{x}")
+        F.col("label_id").alias(f"label_id_{x}"), _cls("text", f"cls_{x}"), _tag(F.col("text")).alias(f"tag_{x}")
     )
 
 

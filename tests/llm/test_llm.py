@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from retort.llm import bpe, language, overlap, packing, terms
+from retort.llm import bpe, language, overlap, packing, seeds, terms
 
 WORDS = {
     "en": "the committee received several bags of flour before the evening train left the station and nobody knew why it happened",
@@ -250,3 +250,72 @@ def test_one_clean_stretch_of_43_characters_is_enough(spark):
         rows += [(2 * i, "".join(base), "train"), (2 * i + 1, "".join(near), "test")]
     df = spark.createDataFrame(rows, "label_id bigint, input_chemfig string, split string").selectExpr("*", "'' AS file_path", "'' AS source")
     assert {tuple(r) for r in overlap.overlap_pairs(df).collect()} == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
+def _markup(rng, size):
+    return "".join(rng.choice(["-[:%d]" % (15 * rng.randrange(24)), "=[:%d]" % (15 * rng.randrange(24)), "C", "O", "N", "CH_{3}", "NH_{2}", "(", ")"]) for _ in range(size))
+
+
+def _selected(texts, side):
+    parts = list(overlap._fingerprints(np.arange(len(texts)) + (side << 38), texts, side, None, None))
+    return [np.concatenate(c) for c in zip(*parts)]
+
+
+def test_blocks_give_the_seeds_back_and_are_small():
+    """A seed with its counts took 53 bytes as a row."""
+    rng = random.Random(21)
+    texts = [_markup(rng, rng.randint(1, 90)) for _ in range(4000)] + ["é\uffff\U0001f600[:7" * 60, "x", "C" * 70_000]
+    key, cls, size, place, counts = _selected(texts, overlap.TRAIN)
+    made = list(seeds.blocks([(key, cls, size, place, counts)], overlap.TRAIN, 3))
+    assert [b[:2] for b in made] == [(i, overlap.TRAIN) for i in range(3)]
+    assert sum(len(b[2]) for b in made) < 26 * len(key)
+    back = [np.concatenate(c) for c in zip(*(seeds.unpack(b[2]) for b in made))]
+    short = key.view(np.uint64) >> np.uint64(64 - seeds.KEY_BITS)
+    a, b = np.lexsort((cls, place, short)), np.lexsort((back[1], back[3], back[0]))
+    for x, y in zip((short, cls, size, place), back):
+        assert (x[a] == y[b]).all()
+    counted = size[a] < seeds.COUNTED
+    assert (counts[a][counted] == back[4][b][counted]).all()
+    i = int(np.flatnonzero(size < 2000)[-1])
+    text = texts[cls[i] - (overlap.TRAIN << 38)]
+    assert counts[i, :4].tolist() == [sum(text[: place[i]].count(c) for c in x) % 256 for x in seeds.LETTERS[:4]]
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 10**9])
+def test_seeds_are_joined_like_every_pair_compared(monkeypatch, crowd):
+    monkeypatch.setattr(seeds, "CROWD", crowd)
+    monkeypatch.setattr(seeds, "COMPARED", 777)
+    rng = random.Random(22)
+    texts = [_markup(rng, rng.randint(10, 60)) for _ in range(151)]
+    texts += ["".join(c for c in x if rng.random() > 0.04) for x in texts] + [x[:-3] + "CH_{3}" for x in texts]
+    e, t = ([x[0].view(np.uint64) >> np.uint64(54), *x[1:]] for x in (_selected(texts[side::2], bit) for side, bit in enumerate((overlap.EVAL, overlap.TRAIN))))
+    got = [r for part in seeds.fitting(tuple(e), tuple(t), overlap.PER_EDIT) for r in zip(*(c.tolist() for c in part))]
+    i, j = np.nonzero(e[0][:, None] == t[0][None, :])
+    most = np.maximum(e[2][i], t[2][j]) // overlap.PER_EDIT
+    off = np.abs(e[3][i] - t[3][j]) + np.abs((e[2][i] - e[3][i]) - (t[2][j] - t[3][j]))
+    d = np.abs(e[4][i].astype(int) - t[4][j])
+    keep = (off <= most) & (np.minimum(d, 256 - d).sum(1) <= 2 * most - off)
+    i, j = i[keep], j[keep]
+    want = list(zip(*(c.tolist() for c in (e[1][i], t[1][j], e[2][i], t[2][j], e[3][i], t[3][j]))))
+    assert len(want) > 500 and sorted(got) == sorted(want)
+
+
+def test_grams_with_few_digits_come_last():
+    """A name that many texts share (it filled most of the chance pairs) isn't selected where a gram with two digits is near."""
+    text = "mabove{N}{H}-[" * 2 + "CH_{3}-CH_{2}-" + "mabove{N}{H}-[" * 2
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    place, _ = overlap.winnow(codes, np.array([len(text)]), 14, 43, 4)
+    assert all(sum(c.isdigit() for c in text[p : p + 14]) == 2 for p in place)
+
+
+def test_letter_counts_never_rule_out_a_near_pair():
+    rng = random.Random(23)
+    for _ in range(40):
+        base = _markup(rng, 60)
+        near = list(base)
+        for _ in range(len(base) // 10):
+            p = rng.randrange(len(near))
+            near[p : p + rng.randint(0, 1)] = rng.choice(["", "C", "4", "é"])
+        counts = [seeds.kind_counts(np.frombuffer(x.encode("utf-32-le"), np.uint32), *(np.array([i]) for i in (0, 0, len(x)))) for x in (base, "".join(near))]
+        d = counts[0] - counts[1]
+        assert np.minimum(d, -d).sum() <= 2 * edits(base, "".join(near))
