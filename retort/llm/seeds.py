@@ -25,6 +25,8 @@ KEY_BITS, BITS = 32, 40
 PACKED, FRAME, COMPARED = 1_000_000, 16_384, 500_000
 #: Seeds of one key near a seed's place from which on they are looked up by size, in classes of this ratio.
 CROWD, RATIO = 256, 1.04
+#: Pairs of seeds near each other from which on a key's seeds are joined apart, in pieces of about as many.
+HEAVY = 50_000_000
 
 _KIND = np.full(128, KINDS - 1)
 for _k, _letters in enumerate(LETTERS):
@@ -130,30 +132,37 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         yield i, np.arange(a, b) + (lo[x:y] - start)[i - x]
 
 
-def _near(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], per_edit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of seeds of one key, with all those whose places and sizes may fit; both sides are sorted by (key, place)."""
-    if not len(e[0]) or not len(t[0]):
-        return
-    new = np.r_[True, t[0][1:] != t[0][:-1]]
-    known, number = t[0][new], np.cumsum(new) - 1
+def _windows(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], per_edit: int) -> tuple[np.ndarray, ...]:
+    """For the seeds of ``e`` whose key is in ``t``: their numbers, their key's number, and first and number of the seeds of ``t`` whose places may fit; then the number of each seed's key in ``t``."""
+    number = np.cumsum(np.r_[True, t[0][1:] != t[0][:-1]]) - 1
+    known = t[0][np.r_[True, t[0][1:] != t[0][:-1]]]
     at = np.minimum(np.searchsorted(known, e[0]), len(known) - 1)
     has = np.flatnonzero(known[at] == e[0])
-    at, size, place = at[has], e[2][has].astype(np.int64), e[3][has].astype(np.int64)
+    at, place = at[has], e[3][has].astype(np.int64)
     # The longer text has size * per_edit / (per_edit - 1) characters at most.
-    reach = size // (per_edit - 1)
+    reach = e[2][has].astype(np.int64) // (per_edit - 1)
     in_order = number << 32 | t[3]
     low = lambda x: np.searchsorted(in_order, at << 32 | np.maximum(x, 0))
     lo = low(place - reach)
-    n = low(place + reach + 1) - lo
+    return has, at, lo, low(place + reach + 1) - lo, number
+
+
+def _near(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], per_edit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of seeds of one key, with all those whose places and sizes may fit; both sides are sorted by (key, place)."""
+    if not len(e[0]) or not len(t[0]):
+        return
+    has, at, lo, n, number = _windows(e, t, per_edit)
     crowded = n > CROWD
     few = has[~crowded]
     for i, j in _ranges(lo[~crowded], n[~crowded]):
         yield few[i], j
     if not crowded.any():
         return
-    has, at, size, place, reach = (x[crowded] for x in (has, at, size, place, reach))
+    has, at = has[crowded], at[crowded]
+    size, place = e[2][has].astype(np.int64), e[3][has].astype(np.int64)
+    most = size // (per_edit - 1)
     # Only the keys of crowded seeds, by class of size: within a class the places that fit are half as many or fewer.
-    keys = np.zeros(len(known), bool)
+    keys = np.zeros(number[-1] + 1, bool)
     keys[at] = True
     some = np.flatnonzero(keys[number])
     edges = np.unique(np.floor(RATIO ** np.arange(0, 1 + np.log(max(int(t[2][some].max()), 2)) / np.log(RATIO))).astype(np.int64))
@@ -163,8 +172,7 @@ def _near(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], per_edit: int) -
     slot = number[some] * len(edges) + group
     slots, first = np.unique(slot, return_index=True)
     dense = np.repeat(np.arange(len(slots)), np.diff(np.r_[first, len(slot)])) << 32 | t[3][some]
-    most = reach  # edits allowed at most
-    lowest, highest = (np.searchsorted(edges, x, "right") - 1 for x in (np.maximum(size - reach, 1), size + reach))
+    lowest, highest = (np.searchsorted(edges, x, "right") - 1 for x in (np.maximum(size - most, 1), size + most))
     for step in range(int((highest - lowest).max()) + 1):
         g = lowest + step
         wanted = at * len(edges) + g
@@ -181,21 +189,42 @@ def _near(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], per_edit: int) -
             yield has[ok[i]], some[j]
 
 
+def sorted_seeds(seeds: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((seeds[3], seeds[0]))
+    return tuple(c[order] for c in seeds)
+
+
+def taken_apart(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], per_edit: int) -> tuple[tuple[np.ndarray, ...], list[tuple[bytes, bytes]]]:
+    """``e`` without the seeds of heavy keys, and these in pieces: a block of them with a block of the seeds of ``t`` near them."""
+    if not len(e[0]) or not len(t[0]):
+        return e, []
+    has, at, lo, n, _ = _windows(e, t, per_edit)
+    heavy = np.flatnonzero(np.bincount(at, n) > HEAVY)
+    rest, pieces = np.ones(len(e[0]), bool), []
+    for k in heavy:
+        a, b = np.searchsorted(at, k), np.searchsorted(at, k, "right")
+        rest[has[a:b]] = False
+        piece = np.cumsum(n[a:b]) // HEAVY
+        cuts = np.r_[0, np.flatnonzero(np.diff(piece)) + 1, b - a] + a
+        for x, y in zip(cuts, cuts[1:]):
+            p, q = lo[x:y].min(), (lo[x:y] + n[x:y]).max()
+            pieces.append((pack(*(c[has[x:y]] for c in e)), pack(*(c[p:q] for c in t))))
+    return tuple(c[rest] for c in e), pieces
+
+
 def fitting(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], per_edit: int) -> Iterator[list[np.ndarray]]:
-    """(cls_e, cls_t, size_e, size_t, place_e, place_t) of the pairs of seeds that a pair of texts within the allowed edits may have.
+    """(cls_e, cls_t, size_e, size_t, place_e, place_t) of the pairs of seeds that a pair of texts within the allowed edits may have; both sides are sorted by (key, place).
 
     A seed's left and right parts differ by the edits on that side at least; an
     edit changes the counts by two at most.
     """
-    orders = [np.lexsort((x[3], x[0])) for x in (e, t)]
-    e, t = (tuple(c[o] for c in x[:4]) + (x[4], o) for x, o in zip((e, t), orders))
     for i, j in _near(e, t, per_edit):
         size_e, size_t, place_e, place_t = e[2][i], t[2][j], e[3][i], t[3][j]
         most = np.maximum(size_e, size_t) // per_edit
         off = np.abs(place_e - place_t) + np.abs((size_e - place_e) - (size_t - place_t))
         keep = np.flatnonzero((off <= most) & (e[1][i] != t[1][j]))
         i, j, most, off = i[keep], j[keep], most[keep], off[keep]
-        d = e[4][e[5][i]] - t[4][t[5][j]]
+        d = e[4][i] - t[4][j]
         apart = np.minimum(d, -d).sum(1, dtype=np.int32)
         keep = np.flatnonzero((apart <= 2 * most - off) | (np.maximum(e[2][i], t[2][j]) >= COUNTED))
         i, j = i[keep], j[keep]
@@ -203,8 +232,19 @@ def fitting(e: tuple[np.ndarray, ...], t: tuple[np.ndarray, ...], per_edit: int)
             yield [e[1][i], t[1][j], e[2][i], t[2][j], e[3][i], t[3][j]]
 
 
-def join_blocks(batches: Iterator[pa.RecordBatch], sides: tuple[int, int], per_edit: int) -> Iterator[pa.RecordBatch]:
-    """The fitting pairs of seeds of every bucket of a partition, from its blocks."""
+PAIRS = "cls_e bigint, cls_t bigint, size_e int, size_t int, place_e int, place_t int"
+#: Pairs, or a piece of a heavy key that is still to be joined, and the partition that takes them.
+PARTED = PAIRS + ", spot int, block_e binary, block_t binary"
+_PAIR, _BLOCKS = [pa.int64()] * 2 + [pa.int32()] * 4, [pa.int32(), pa.binary(), pa.binary()]
+
+
+def _batch(columns: list) -> pa.RecordBatch:
+    names = [x.split()[0] for x in PARTED.split(", ")][: len(columns)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _PAIR + _BLOCKS)], names)
+
+
+def join_blocks(batches: Iterator[pa.RecordBatch], sides: tuple[int, int], per_edit: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The fitting pairs of seeds of every bucket of a partition, from its blocks; heavy keys in pieces."""
     held: dict[tuple[int, int], list[bytes]] = {}
     for b in batches:
         for bucket, side, block in zip(b.column("bucket").to_pylist(), b.column("side").to_pylist(), b.column("block").to_pylist()):
@@ -212,6 +252,22 @@ def join_blocks(batches: Iterator[pa.RecordBatch], sides: tuple[int, int], per_e
     for bucket in sorted({k for k, _ in held}):
         both = [held.pop((bucket, side), []) for side in sides]
         if all(both):
-            e, t = (tuple(np.concatenate(c) for c in zip(*map(unpack, some))) for some in both)
+            e, t = (sorted_seeds(tuple(np.concatenate(c) for c in zip(*map(unpack, some)))) for some in both)
+            e, pieces = taken_apart(e, t, per_edit)
+            for i, (block_e, block_t) in enumerate(pieces):
+                yield _batch([[None]] * 6 + [[(bucket + i) % buckets], [block_e], [block_t]])
             for columns in fitting(e, t, per_edit):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cls_e", "cls_t", "size_e", "size_t", "place_e", "place_t"])
+                n = len(columns[0])
+                yield _batch([*columns, (columns[0] ^ columns[1]) % buckets, [None] * n, [None] * n])
+
+
+def join_pieces(batches: Iterator[pa.RecordBatch], per_edit: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of seeds found already, and those of the pieces of heavy keys."""
+    for b in batches:
+        found = b.filter(b.column("block_e").is_null())
+        if found.num_rows:
+            yield found.select(range(len(_PAIR)))
+        pieces = b.filter(b.column("block_e").is_valid())
+        for block_e, block_t in zip(pieces.column("block_e"), pieces.column("block_t")):
+            for columns in fitting(unpack(block_e.as_py()), unpack(block_t.as_py()), per_edit):
+                yield _batch(columns)

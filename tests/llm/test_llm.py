@@ -289,7 +289,8 @@ def test_seeds_are_joined_like_every_pair_compared(monkeypatch, crowd):
     texts = [_markup(rng, rng.randint(10, 60)) for _ in range(151)]
     texts += ["".join(c for c in x if rng.random() > 0.04) for x in texts] + [x[:-3] + "CH_{3}" for x in texts]
     e, t = ([x[0].view(np.uint64) >> np.uint64(54), *x[1:]] for x in (_selected(texts[side::2], bit) for side, bit in enumerate((overlap.EVAL, overlap.TRAIN))))
-    got = [r for part in seeds.fitting(tuple(e), tuple(t), overlap.PER_EDIT) for r in zip(*(c.tolist() for c in part))]
+    e, t = seeds.sorted_seeds(e), seeds.sorted_seeds(t)
+    got = [r for part in seeds.fitting(e, t, overlap.PER_EDIT) for r in zip(*(c.tolist() for c in part))]
     i, j = np.nonzero(e[0][:, None] == t[0][None, :])
     most = np.maximum(e[2][i], t[2][j]) // overlap.PER_EDIT
     off = np.abs(e[3][i] - t[3][j]) + np.abs((e[2][i] - e[3][i]) - (t[2][j] - t[3][j]))
@@ -298,6 +299,14 @@ def test_seeds_are_joined_like_every_pair_compared(monkeypatch, crowd):
     i, j = i[keep], j[keep]
     want = list(zip(*(c.tolist() for c in (e[1][i], t[1][j], e[2][i], t[2][j], e[3][i], t[3][j]))))
     assert len(want) > 500 and sorted(got) == sorted(want)
+    # The same with the frequent keys taken apart, whose pieces any task may join.
+    monkeypatch.setattr(seeds, "HEAVY", 60)
+    blocks = [row for x, side in ((e, 2), (t, 1)) for row in [(0, side, seeds.pack(*x))]]
+    made = list(seeds.join_blocks([seeds.as_batch(blocks)], (2, 1), overlap.PER_EDIT, 5))
+    pieces = [r for b in made for r in b.to_pylist() if r["block_e"]]
+    assert len(pieces) > 5 and len({r["spot"] for r in pieces}) == 5
+    apart = [tuple(r.values()) for b in seeds.join_pieces(iter(made), overlap.PER_EDIT) for r in b.to_pylist()]
+    assert sorted(apart) == sorted(want)
 
 
 def test_grams_with_few_digits_come_last():
