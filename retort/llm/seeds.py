@@ -103,10 +103,16 @@ def unpack(block: bytes) -> tuple[np.ndarray, ...]:
     return key, cls, size, place, counts
 
 
+def short_keys(key: np.ndarray) -> np.ndarray:
+    """Keys as blocks hold them. Selected grams are those of least hash, so that the first bits alone would put most of them into the first bucket."""
+    with np.errstate(over="ignore"):
+        return (key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - KEY_BITS)
+
+
 def blocks(parts: list[tuple[np.ndarray, ...]], side: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, side, block) of seeds (key, cls, size, place, counts)."""
     key, cls, size, place, counts = (np.concatenate(c) for c in zip(*parts))
-    key = key.view(np.uint64) >> np.uint64(64 - KEY_BITS)
+    key = short_keys(key)
     order = np.lexsort((place, key))
     key, cls, size, place, counts = key[order], cls[order], size[order], place[order], counts[order]
     bucket = (key * np.uint64(buckets)) >> np.uint64(KEY_BITS)
